@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -18,7 +20,26 @@ SLICE_BYTES = 2 << 20
 BATCH_ROWS = 512
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each SparkContext; Spark's own file server carries it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gnosia_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if os.path.isdir(top):
+        path = os.path.join(tempfile.mkdtemp(prefix="gnosia-"), "gnosia.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(top):
+                for n in names:
+                    if n.endswith(".py"):
+                        full = os.path.join(folder, n)
+                        z.write(full, os.path.relpath(full, os.path.dirname(top)))
+        sc.addPyFile(path)
+    sc._gnosia_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

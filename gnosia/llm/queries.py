@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gnosia.llm import bpe, simhash
+from gnosia.llm import bpe, langid, quality, simhash, urls
 from gnosia.llm.common import table
 
 
@@ -28,6 +29,42 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash}
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.rules(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr_sum", "n_grams")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.train(table(spark, sf_dir, "documents"))
+    pages = urls.url_parts(table(spark, sf_dir, "pages"))
+    src = pages.select(
+        "page_id", "host", langid.visible(F.col("html")).alias("body"), langid.markup_language(F.col("html")).alias("declared"),
+        langid.suffix_language(F.col("host"), F.col("path")).alias("suffix"),
+    )
+    out = langid.identify(src, model, "body", "declared", "suffix", "host", keep=["page_id", "host", "declared", "suffix"])
+    return out.select("page_id", "host", "declared", "suffix", "text_language", "language", F.round("posterior", 6).alias("posterior"))
+
+
+#: The rules of op8: host and path, verdict.
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_language": op6_language, "op8_urls": op8_urls}
 #: DuckDB SQL with the same result, where SQL can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_urls": r"""
+WITH rules(rule, verdict) AS (VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')),
+split AS (SELECT rule, verdict, rule[1:instr(rule, '/') - 1] AS rhost, rule[instr(rule, '/'):] AS rpath FROM rules),
+rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[instr(url, '://') + 3:] ELSE '' END AS r FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(r, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM rest),
+best AS (SELECT page_id, rule, verdict, rhost FROM parts JOIN split ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC, length(rhost) DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (page_id)""",
+}
