@@ -87,11 +87,20 @@ class _Rows:
 class Bpe:
     """A byte-level BPE vocabulary in the JSON format of the tokenizers library."""
 
+    #: Byte that ends each word (none here); UTF-8 never has 0xFF.
+    END = b""
+
+    def check(self, spec: dict) -> None:
+        model, pre = spec["model"], spec["pre_tokenizer"] or {}
+        if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or spec.get("normalizer") or model.get("ignore_merges") or model.get("end_of_word_suffix"):
+            raise ValueError("only byte-level BPE without a normalizer, suffix or prefix space is supported")
+
     def __init__(self, source: str) -> None:
+        from tokenizers import Tokenizer
+
         spec = json.loads(source)
-        model, pre = spec["model"], spec["pre_tokenizer"] or {}
-        if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or spec.get("normalizer") or model.get("ignore_merges"):
-            raise ValueError("only byte-level BPE without a normalizer or prefix space is supported")
+        self.check(spec)
+        model, suffix = spec["model"], spec["model"].get("end_of_word_suffix") or ""
         alphabet = byte_alphabet()
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.split = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True))) if self.special else None
@@ -99,14 +108,21 @@ class Bpe:
         n = max([*vocab.values(), *self.special.values()]) + 1
         self.bytes = [b""] * n
         for k, v in vocab.items():
-            self.bytes[v] = bytes(alphabet[c] for c in k)
+            last = suffix and k.endswith(suffix)
+            self.bytes[v] = bytes(alphabet[c] for c in (k[: -len(suffix)] if last else k)) + (self.END if last else b"")
         for k, v in self.special.items():
             self.bytes[v] = k.encode()
-        self.base = np.full(256, -1, np.int64)
+        #: Tokens of a single byte, inside a word and at its end.
+        self.base, self.base_end = np.full(256, -1, np.int64), np.full(256, -1, np.int64)
         for v in vocab.values():
-            if len(self.bytes[v]) == 1:
-                self.base[self.bytes[v][0]] = v
-        if (self.base < 0).any():
+            b = self.bytes[v]
+            if len(b) == 1:
+                self.base[b[0]] = v
+            elif len(b) == 2 and self.END and b[1:] == self.END:
+                self.base_end[b[0]] = v
+        if not self.END:
+            self.base_end = self.base
+        if (self.base < 0).any() or (self.base_end < 0).any():
             raise ValueError("the vocabulary lacks some bytes")
         #: How each token is built: its two parts and the rank of that merge (-1: a single byte).
         self.left, self.right, self.rank = np.arange(n), np.arange(n), np.full(n, -1, np.int64)
@@ -114,7 +130,7 @@ class Bpe:
         self.sound = True
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            x, y, z = vocab[a], vocab[b], vocab[a + b]
+            x, y, z = vocab[a], vocab[b], vocab[a + b]  # a suffix can only end the right part
             self.sound &= self.rank[z] < 0 and (x, y) not in self.merges
             self.merges.setdefault((x, y), (rank, z))
             self.left[z], self.right[z], self.rank[z] = x, y, rank
@@ -123,10 +139,9 @@ class Bpe:
         self.pair_key, self.pair_rank, self.n = keys[order], np.array([r for r, _ in self.merges.values()], np.int64)[order], n
         self.made = np.zeros(len(model["merges"]), np.int64)
         self.made[[r for r, _ in self.merges.values()]] = [z for _, z in self.merges.values()]
-        self._trie([(self.bytes[v], v) for v in vocab.values() if len(self.bytes[v]) == 1 or self.rank[v] >= 0])
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_str(source).pre_tokenizer
+        units = {*self.base.tolist(), *self.base_end.tolist()}
+        self._trie([(self.bytes[v], v) for v in vocab.values() if (v in units or self.rank[v] >= 0) and not (self.END and self.END in self.bytes[v][:-1] + self.bytes[v][:1])])
+        self.library = Tokenizer.from_str(source)
         self.forget()
 
     def _trie(self, tokens: list[tuple[bytes, int]]) -> None:
@@ -169,13 +184,13 @@ class Bpe:
         if chunk.isascii() and (chunk[1:] if chunk[0] == " " else chunk).isalpha():
             return [chunk]
         if _ODD.search(chunk):
-            return [chunk[a:b] for _, (a, b) in self.library.pre_tokenize_str(chunk)]
+            return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
         return _FINE.findall(chunk)
 
     # ---- speculate, verify, repair
 
     def greedy(self, buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Longest-match tokens of all words in step: (tokens in order of word, tokens of each word)."""
+        """Longest-match tokens of all words in step: (tokens in order of word, -1 where none fits; tokens of each word)."""
         pos, end, active = starts.copy(), starts + lens, np.flatnonzero(lens > 0)
         who, what = [], []
         while active.size:
@@ -193,6 +208,7 @@ class Bpe:
                 best[live[ok]], upto[live[ok]] = token[ok], cur[live[ok]]
             who.append(active)
             what.append(best)
+            upto[best < 0] = stop[best < 0]  # nothing matches: the word is merged exactly
             pos[active] = upto
             active = active[upto < stop]
         if not who:
@@ -234,7 +250,9 @@ class Bpe:
 
     def exact_all(self, buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Exact merging of all words in step: each round runs the first of the lowest-ranked merges of every word."""
-        token, word = self.base[buf[gather(starts, lens)]], np.repeat(np.arange(starts.size), lens)
+        n = len(self.END)
+        token, word = self.base[buf[gather(starts, lens - n)]], np.repeat(np.arange(starts.size), lens - n)
+        token[np.cumsum(lens - n) - 1] = self.base_end[buf[starts + lens - n - 1]]
         rank = np.full(token.size, NONE)
         same = np.flatnonzero(word[1:] == word[:-1])
         rank[same] = self.ranks(token[same], token[same + 1])
@@ -266,7 +284,8 @@ class Bpe:
 
     def exact(self, word: bytes) -> list[int]:
         """The same for one long word, with a heap over a linked list."""
-        ids = self.base[np.frombuffer(word, np.uint8)].tolist()
+        body = np.frombuffer(word[: len(word) - len(self.END)], np.uint8)
+        ids = [*self.base[body[:-1]].tolist(), int(self.base_end[body[-1]])]
         n, get = len(ids), self.merges.get
         nxt, prv = [*range(1, n + 1)], [*range(-1, n - 1)]
         heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1])))]
@@ -288,7 +307,7 @@ class Bpe:
 
     def encode_words(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids one word after the other, ids of each word)."""
-        raw = [w.encode() for w in words]
+        raw = [w.encode() + self.END for w in words]
         lens = np.fromiter(map(len, raw), np.int64, len(raw))
         buf = np.frombuffer(b"".join(raw), np.uint8)
         short = (lens <= LONG) & self.sound
@@ -297,6 +316,7 @@ class Bpe:
         inside = np.flatnonzero(word[1:] == word[:-1])
         pairs, of = np.unique(tokens[inside] * self.n + tokens[inside + 1], return_inverse=True)
         bad = ~short
+        bad[word[tokens < 0]] = True
         bad[word[inside[~self.compatible(pairs // self.n, pairs % self.n)[of]]]] = True
         if not bad.any():
             return tokens, counts
@@ -319,9 +339,8 @@ class Bpe:
         """Encode the chunks that were seen for the first time."""
         if not self.chunks.new:
             return
-        special, pieces = self.special, []
-        for c in self.chunks.new:
-            pieces.append([c] if c in special else self.fine(c))
+        special = self.special
+        pieces = [[c] if c in special else self.fine(c) for c in self.chunks.new]
         self.chunks.new = []
         counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
         numbers = np.fromiter((self.pres[p] for x in pieces for p in x), np.int64, int(counts.sum()))
@@ -360,9 +379,54 @@ class Bpe:
         return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
 
+class WordBpe(Bpe):
+    """BPE over lower-cased words with a mark at their end; white space is dropped.
+
+    The normalizer and the split work within runs of non-space, so each distinct run is encoded once. Runs with
+    characters beyond extended Latin, where versions of Unicode and context matter, go through the library itself.
+    """
+
+    END = b"\xff"
+    _RUN = re.compile("[^\t-\r ]+")
+    #: The published pattern of this vocabulary (a fixed value).
+    _PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    _PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]*")
+
+    def check(self, spec: dict) -> None:
+        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        ok = spec["model"]["type"] == "BPE" and spec["model"].get("end_of_word_suffix") and steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in pre] == ["Split", "ByteLevel"]
+        if not ok or pre[0]["pattern"].get("Regex") != self._PART.pattern:
+            raise ValueError("only word BPE with this normalizer and split is supported")
+
+    def coarse(self, text: str) -> list[str]:
+        return self._RUN.findall(text)
+
+    def _learn(self) -> None:
+        new = self.chunks.new
+        own = [self._PLAIN.fullmatch(c) is not None and "<|" not in c for c in new]
+        pieces = [self._PART.findall(c.lower()) for c, o in zip(new, own, strict=True) if o]
+        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        numbers = np.fromiter((self.pres[p] for x in pieces for p in x), np.int64, int(counts.sum()))
+        if self.pres.new:
+            self.pre_ids.add(*self.encode_words(self.pres.new))
+            self.pres.new = []
+        ids, lens = self.pre_ids.take(numbers)
+        ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(counts)])]
+        mine, sizes = np.array(own, bool), np.zeros(len(new), np.int64)
+        sizes[mine] = np.diff(ends)
+        others = [self.library.encode(c, add_special_tokens=False).ids for c, o in zip(new, own, strict=True) if not o]
+        sizes[~mine] = [len(x) for x in others]
+        out = np.empty(int(sizes.sum()), np.int64)
+        out[np.repeat(mine, sizes)] = ids
+        out[np.repeat(~mine, sizes)] = [t for x in others for t in x]
+        self.chunk_ids.add(out, sizes)
+        self.chunks.new = []
+
+
 @lru_cache(2)
 def model(source: str) -> Bpe:
-    return Bpe(source)
+    return (WordBpe if json.loads(source)["model"].get("end_of_word_suffix") else Bpe)(source)
 
 
 #: What encode() can return for a text.

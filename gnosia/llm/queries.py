@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gnosia.llm import bpe, langid, quality, simhash, urls
+from gnosia.llm import bpe, fingerprint, langid, licenses, packing, quality, sharding, simhash, tokencount, urls
 from gnosia.llm.common import table
 
 
@@ -55,9 +55,36 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_language": op6_language, "op8_urls": op8_urls}
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs, tokencount.pieces(vocabulary("piece_bpe_32k.model")), keep=["doc_id"])
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe, "op2_fingerprint": op2_fingerprint, "op3_licenses": op3_licenses, "op4_simhash": op4_simhash, "op5_quality": op5_quality,
+    "op6_language": op6_language, "op7_tokens": op7_tokens, "op8_urls": op8_urls, "op9_sharding": op9_sharding, "op10_packing": op10_packing,
+}
 #: DuckDB SQL with the same result, where SQL can express the operator.
 ORACLES: dict[str, str] = {
+    "op3_licenses": licenses.oracle(),
     "op8_urls": r"""
 WITH rules(rule, verdict) AS (VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')),
 split AS (SELECT rule, verdict, rule[1:instr(rule, '/') - 1] AS rhost, rule[instr(rule, '/'):] AS rpath FROM rules),
