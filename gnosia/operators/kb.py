@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gnosia import model
@@ -27,6 +27,7 @@ class KB:
         self.spark, self.edges, self.small = edges.sparkSession, edges, small
         self.isa_neg_via_genls, self.strict_or, self.numeric_equals, self.now = isa_neg_via_genls, strict_or, numeric_equals, now
         self._cache: dict[tuple, DataFrame] = {}
+        self._symmetric: dict[str, bool] = {}
 
     # ---- scans
 
@@ -47,6 +48,11 @@ class KB:
         return e.select(F.explode(F.array("arg1", "arg2")).alias("term")).where("term is not null").distinct()
 
     def is_symmetric(self, pred: str) -> bool:
+        if pred not in self._symmetric:
+            self._symmetric[pred] = self._asserted_symmetric(pred)
+        return self._symmetric[pred]
+
+    def _asserted_symmetric(self, pred: str) -> bool:
         e = self.active.where((F.col("pred") == "isa") & (F.col("sign") == 1) & (F.col("arg1") == pred) & (F.col("arg2") == "SymmetricBinaryPredicate"))
         return not e.isEmpty()
 
@@ -54,17 +60,22 @@ class KB:
 
     def functions(self) -> DataFrame:
         """(term, func) of the functional terms among the arguments of active edges."""
-        terms = self.active.where(F.exists("args", lambda a: a.startswith("("))).select(F.explode("args").alias("term")).where(model.is_function(F.col("term"))).distinct()
-        return terms.withColumn("func", model.function_name(F.col("term")))
+        one = self.active.where(model.is_function(F.col("arg1"))).select(F.col("arg1").alias("term")).union(self.active.where(model.is_function(F.col("arg2"))).select(F.col("arg2").alias("term")))
+        more = self.active.where("arity > 2").select(F.explode(F.slice("args", F.lit(3), F.size("args"))).alias("term")).where(model.is_function(F.col("term")))
+        return self._once(("functions",), lambda: one.union(more).distinct().withColumn("func", model.function_name(F.col("term"))))
 
     def function_results(self, kind: str, terms: DataFrame | None = None) -> DataFrame:
         """(a, b): functional term a has the type b by kind (`resultIsa` or `resultGenl`), constant or by argument."""
+        if terms is None and ("results", kind) in self._cache:
+            return self._cache["results", kind]
+        everything = terms is None
         terms = self.functions() if terms is None else terms.where(model.is_function(F.col("term"))).select("term", model.function_name(F.col("term")).alias("func")).distinct()
         fixed = self.asserted(kind).select(F.col("a").alias("func"), "b")
         by_arg = self.asserted(f"{kind}Arg").select(F.col("a").alias("func"), model.number(F.col("b")).cast("int").alias("k")).where("k is not null")
         out = terms.join(fixed, "func").select(F.col("term").alias("a"), "b")
         picked = terms.join(by_arg, "func").select(F.col("term").alias("a"), F.try_element_at(model.term_parts("term"), F.col("k") + 1).alias("b"))
-        return out.union(picked.where("b is not null")).distinct()
+        out = out.union(picked.where("b is not null")).distinct()
+        return self._once(("results", kind), lambda: out) if everything else out
 
     # ---- closure
 
@@ -108,6 +119,8 @@ class KB:
 
     def types(self, terms: DataFrame | None = None, pred: str = "isa") -> DataFrame:
         """(a, b, dist): b is a type of a; direct types, result types of functional terms, and all above them."""
+        if terms is None and ("types", pred) in self._cache:
+            return self._cache["types", pred]
         direct = self.asserted(pred)
         if terms is not None:
             direct = direct.join(terms.select(F.col("term").alias("a")).distinct(), "a", "left_semi")
@@ -119,7 +132,8 @@ class KB:
         else:
             up = self.upward(direct.select(F.col("b").alias("lo"))).where("dist > 0")
         above = direct.join(up, direct.b == up.lo).select("a", F.col("hi").alias("b"), F.col("dist"))
-        return direct.select("a", "b", F.lit(0).alias("dist")).union(above).groupBy("a", "b").agg(F.min("dist").alias("dist"))
+        out = direct.select("a", "b", F.lit(0).alias("dist")).union(above).groupBy("a", "b").agg(F.min("dist").alias("dist"))
+        return self._once(("types", pred), lambda: out) if terms is None else out
 
     def instances(self, seeds: DataFrame, pred: str = "isa") -> DataFrame:
         """(a, b): a is an instance of the seed b (column hi) or of a class below it."""
@@ -165,10 +179,13 @@ class KB:
 
     def siblings_disjoint(self) -> DataFrame:
         """(a, b, t): different instances of one sibling-disjoint collection type t."""
-        types = self.types()
-        t = types.where(F.col("b") == "SiblingDisjointCollectionType").select(F.col("a").alias("b"))
-        members = types.join(t, "b", "left_semi").select("a", F.col("b").alias("t"))
-        return members.join(members.select(F.col("a").alias("b"), "t"), "t").where("a <> b").select("a", "b", "t")
+
+        def make() -> DataFrame:
+            seed = self.spark.createDataFrame([("SiblingDisjointCollectionType",)], "hi string")
+            members = self.instances(self.instances(seed).select(F.col("a").alias("hi"))).select("a", F.col("b").alias("t"))
+            return members.join(members.select(F.col("a").alias("b"), "t"), "t").where("a <> b").select("a", "b", "t")
+
+        return self._once(("siblings",), make)
 
     def exceptions(self) -> DataFrame:
         e = self.asserted("siblingDisjointExceptions")
@@ -176,7 +193,7 @@ class KB:
 
     def axioms(self) -> DataFrame:
         """(x, y, sign) of disjointWith in both orders."""
-        e = self.signed("disjointWith")
+        e = self._once(("signed", "disjointWith"), lambda: self.signed("disjointWith"))
         return e.select(F.col("a").alias("x"), F.col("b").alias("y"), "sign").union(e.select(F.col("b").alias("x"), F.col("a").alias("y"), "sign")).distinct()
 
     def prove_disjoint(self, pairs: DataFrame, want_false: bool = True) -> DataFrame:
@@ -235,7 +252,3 @@ class KB:
 
 def pair(spark, a: str, b: str) -> DataFrame:
     return spark.createDataFrame([(a, b)], "a string, b string")
-
-
-def only(df: DataFrame, column: str, value: str | Column) -> DataFrame:
-    return df.where(F.col(column) == value)

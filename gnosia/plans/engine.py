@@ -313,9 +313,9 @@ class Engine:
         return self._with_swapped(self.kb.active.where(F.col("pred") == sexpr.text(inner[0])), inner)
 
     def _with_swapped(self, edges: DataFrame, inner: tuple) -> DataFrame:
-        edges = edges.select("args", "sign")
+        edges = edges.select("arg1", "arg2", "args", "arity", "sign")
         if len(inner) == 3 and self.kb.is_symmetric(sexpr.text(inner[0])):
-            edges = edges.union(edges.select(F.array(F.element_at("args", 2), F.element_at("args", 1)).alias("args"), "sign"))
+            edges = edges.union(edges.select(F.col("arg2"), F.col("arg1"), "args", "arity", "sign"))
         return edges
 
     def _default_edges(self, expr: tuple) -> DataFrame:
@@ -324,7 +324,8 @@ class Engine:
 
     def _matching(self, edges: DataFrame, expr: tuple) -> DataFrame:
         n = len(expr) - 1
-        out = edges.where(F.size("args") == n).select("sign", *[F.element_at("args", i + 1).alias(f"a{i}") for i in range(n)])
+        place = lambda i: F.col(f"arg{i + 1}") if i < 2 else F.element_at("args", i + 1)
+        out = edges.where(F.col("arity") == n).select("sign", *[place(i).alias(f"a{i}") for i in range(n)])
         for i, x in enumerate(expr[1:]):
             if not sexpr.is_variable(x):
                 out = out.where(F.col(f"a{i}") == sexpr.text(x))

@@ -21,7 +21,7 @@ from gnosia.operators.kb import KB
 from gnosia.operators.tables import checkpointed, ship
 from gnosia.plans.engine import Engine
 from gnosia.sources import files
-from gnosia.sources.project import EDGE_SQL, ontology
+from gnosia.sources.project import EDGE_SQL, ontology, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,8 +52,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def kb_of(spark: SparkSession, sf_dir: str) -> KB:
-    """The knowledge base of a folder; a narrow query reads only the branches of the projection that it needs."""
-    return KB(ontology(spark, sf_dir))
+    """The knowledge base of a folder; a query reads only the predicates that it needs."""
+    return KB(stored(spark, sf_dir))
 
 
 def _ask(spark: SparkSession, sf_dir: str, text_: str) -> DataFrame:
@@ -108,7 +108,7 @@ def edge_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges that hold cust:7 anywhere, in functional terms too, but are no orders."""
     ship(spark)
-    edges = checkpointed(ontology(spark, sf_dir))
+    edges = stored(spark, sf_dir)
     return scan.find(edges, [("cust:7", None), ("placedOrder", "-1")]).select("pred", "arg1", "arg2", "sign")
 
 
@@ -388,16 +388,15 @@ def v_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constraints.propagate(kb, kb.active).select("pred", "arg1", "arg2", "sign")
 
 
-@query("v_strictly_functional", "SELECT arg1, max(arg2) AS arg2 FROM (SELECT arg1, arg2 FROM e WHERE pred = 'placedOrder') GROUP BY 1")
+@query("v_strictly_functional", "SELECT arg1, max(arg2) AS arg2 FROM e WHERE pred = 'placedOrder' GROUP BY 1")
 def v_strictly_functional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer's newest order, edge ids growing with the order's name."""
-    e = ontology(spark, sf_dir).where("pred = 'placedOrder'")
-    rank = e.groupBy("arg2").agg(F.min("arg1").alias("__a")).withColumn("edge_id2", F.conv(F.hex(F.encode(F.lpad(F.col("arg2"), 7, " "), "utf-8")), 16, 10).cast("decimal(20,0)").cast("long"))
-    e = e.join(rank.select("arg2", "edge_id2"), "arg2").withColumn("edge_id", F.col("edge_id2")).drop("edge_id2")
-    kb = KB(e.select(*ontology(spark, sf_dir).columns).unionByName(model.edges_of(spark, ["(isa placedOrder StrictlyFunctionalSlot)"])))
-    del rank
-    best = constraints.strictly_functional(kb).where("pred = 'placedOrder'")
-    return best.select("arg1", "arg2")
+    """Each customer's newest order; edge ids grow with the order's name."""
+    e = stored(spark, sf_dir).where("pred = 'placedOrder'")
+    name = F.rpad(F.col("arg2"), 12, " ")
+    code = lambda a, n: F.conv(F.hex(F.encode(F.substr(name, F.lit(a), F.lit(n)), "utf-8")), 16, 10).cast("long")
+    e = e.withColumn("edge_id", code(5, 7))
+    kb = KB(e.unionByName(model.edges_of(spark, ["(isa placedOrder StrictlyFunctionalSlot)"])))
+    return constraints.strictly_functional(kb).where("pred = 'placedOrder'").select("arg1", "arg2")
 
 
 @query("v_rewrite", "SELECT DISTINCT CASE WHEN arg2 = 'region:ASIA' THEN 'region:Asia' WHEN arg2 = '(OrderByFn cust:1)' THEN '(OrderByFn client:1)' ELSE arg2 END AS arg2, CASE WHEN arg1 = 'cust:1' THEN 'client:1' WHEN arg1 = 'region:ASIA' THEN 'region:Asia' ELSE arg1 END AS arg1, pred, sign FROM e WHERE pred IN ('isa', 'genls')")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from gnosia.model import edges_from_pairs
+from gnosia.model import EDGES, edges_from_pairs
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "conversations")
 #: What the derived ontology asserts beside the rows of the tables.
@@ -42,3 +45,21 @@ def ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(view)
         sql = sql.replace(f"FROM {name} ", f"FROM {view} AS {name} ").replace(f"FROM {name}\n", f"FROM {view} AS {name}\n").replace(f"JOIN {name} ", f"JOIN {view} AS {name} ")
     return edges_from_pairs(spark.sql(sql))
+
+
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same edges, loaded once for each application and folder: Parquet partitioned by predicate in the shared folder.
+
+    Queries then read the partitions of their predicates only, and their plans hold one scan instead of the union.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gnosia-edges-")
+        path = f"{folder.rstrip('/')}/edges-{uuid.uuid4().hex}"
+        ontology(spark, sf_dir).write.partitionBy("pred").parquet(path)
+        _stored[key] = path
+    names = [c.strip().split(" ")[0] for c in EDGES.replace("map<string,string>", "map").split(",")]
+    return spark.read.schema(EDGES).parquet(_stored[key]).select(*names)
