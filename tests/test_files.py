@@ -147,3 +147,15 @@ def test_bubble_up(spark):
     lines = [f"(genls S{i} Top)" for i in range(12)] + [f"(disjointWith S{i} Target)" for i in range(6)]
     got = analytics.bubble_up(KB(edges_of(spark, lines))).collect()
     assert [(r.parent, r.target, r.n, r.n_disjoint) for r in got] == [("Top", "Target", 12, 6)]
+
+
+def test_seed(spark):
+    from gnosia.plans.engine import Engine
+    from gnosia.sources.seed import assertions, seed
+
+    edges = seed(spark)
+    assert edges.count() == len(assertions()) == edges.select("edge_id").distinct().count()
+    e = Engine(KB(edges))
+    assert e.query("(isa isa Relation)", prove_false=False).state == "TRUE"
+    assert e.query("(isa (YearFn 1987) Date)", prove_false=False).state == "TRUE"
+    assert e.query("(laterThan Rock 5)").state == "NIL"
