@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -35,7 +36,7 @@ _FINE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: Beyond these blocks, versions of Unicode differ on what is a letter; the library itself splits such chunks.
 _ODD = re.compile("[^\\u0000-\\u0557\\u1e00-\\u1eff\\u2010-\\u2070\\u20a0-\\u20af\\u3040-\\u30ff\\u4e00-\\u9fa5\\uac00-\\ud7a3]")
 #: Distinct chunks and pre-tokens remembered by a worker; beyond it, all are forgotten.
-CACHE = 400_000
+CACHE = 120_000
 #: Longer pre-tokens are merged exactly at once.
 LONG = 256
 #: The rank of a pair that has no merge.
@@ -96,8 +97,7 @@ class Bpe:
             raise ValueError("only byte-level BPE without a normalizer, suffix or prefix space is supported")
 
     def __init__(self, source: str) -> None:
-        from tokenizers import Tokenizer
-
+        self.source, self._library, self._merges = source, None, None
         spec = json.loads(source)
         self.check(spec)
         model, suffix = spec["model"], spec["model"].get("end_of_word_suffix") or ""
@@ -126,43 +126,87 @@ class Bpe:
             raise ValueError("the vocabulary lacks some bytes")
         #: How each token is built: its two parts and the rank of that merge (-1: a single byte).
         self.left, self.right, self.rank = np.arange(n), np.arange(n), np.full(n, -1, np.int64)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        merges: dict[tuple[int, int], tuple[int, int]] = {}
         self.sound = True
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             x, y, z = vocab[a], vocab[b], vocab[a + b]  # a suffix can only end the right part
-            self.sound &= self.rank[z] < 0 and (x, y) not in self.merges
-            self.merges.setdefault((x, y), (rank, z))
+            self.sound &= bool(self.rank[z] < 0 and (x, y) not in merges)
+            merges.setdefault((x, y), (rank, z))
             self.left[z], self.right[z], self.rank[z] = x, y, rank
-        keys = np.array([x * n + y for x, y in self.merges], np.int64)
+        keys = np.array([x * n + y for x, y in merges], np.int64)
         order = np.argsort(keys)
-        self.pair_key, self.pair_rank, self.n = keys[order], np.array([r for r, _ in self.merges.values()], np.int64)[order], n
+        self.pair_key, self.pair_rank, self.n = keys[order], np.array([r for r, _ in merges.values()], np.int64)[order], n
         self.made = np.zeros(len(model["merges"]), np.int64)
-        self.made[[r for r, _ in self.merges.values()]] = [z for _, z in self.merges.values()]
+        self.made[[r for r, _ in merges.values()]] = [z for _, z in merges.values()]
         units = {*self.base.tolist(), *self.base_end.tolist()}
         self._trie([(self.bytes[v], v) for v in vocab.values() if (v in units or self.rank[v] >= 0) and not (self.END and self.END in self.bytes[v][:-1] + self.bytes[v][:1])])
-        self.library = Tokenizer.from_str(source)
         self.forget()
 
+    def __getstate__(self) -> dict:
+        """What a broadcast carries: arrays and the source, without what was remembered."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("chunks", "chunk_ids", "pres", "pre_ids")} | {"_library": None, "_merges": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.forget()
+
+    @property
+    def library(self):
+        """The library's own tokenizer, for characters on which versions of Unicode differ."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_str(self.source)
+        return self._library
+
+    @property
+    def merges(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """pair -> (rank, token), for long words only."""
+        if self._merges is None:
+            self._merges = {(k // self.n, k % self.n): (r, int(self.made[r])) for k, r in zip(self.pair_key.tolist(), self.pair_rank.tolist(), strict=True)}
+        return self._merges
+
     def _trie(self, tokens: list[tuple[bytes, int]]) -> None:
-        """Rows only for nodes with children; a state below zero is a leaf that no byte leaves."""
-        child: dict[tuple[int, int], int] = {}
-        token, inner = [-1], {0: 0}
+        """The trie's edges (node, byte) -> node in one open hash table, and the token that ends at each node."""
+        child: dict[int, int] = {}
+        token = [-1]
         for b, v in tokens:
             at = 0
             for x in b:
-                inner.setdefault(at, len(inner))
-                if (to := child.get((at, x))) is None:
-                    to = child[at, x] = len(token)
+                if (to := child.get(at << 8 | x)) is None:
+                    to = child[at << 8 | x] = len(token)
                     token.append(-1)
                 at = to
             token[at] = v
-        self.node_token = np.array(token, np.int64)
-        self.node_row = np.full(len(token), len(inner), np.int64)
-        self.node_row[list(inner)] = list(inner.values())
-        self.step = np.full((len(inner) + 1, 256), -1, np.int32)
-        for (at, x), to in child.items():
-            self.step[inner[at], x] = to
+        self.node_token = np.array(token, np.int32)
+        bits = max(4, (2 * len(child)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.edge_key, self.edge_to = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        keys = np.array(list(child), np.int64)
+        for key, slot, to in zip(keys.tolist(), self._slot(keys).tolist(), child.values(), strict=True):
+            while self.edge_key[slot] >= 0:
+                slot = (slot + 1) & self.mask
+            self.edge_key[slot], self.edge_to[slot] = key, to
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The node that each byte leads to, -1 where none."""
+        key = node << 8 | byte
+        slot = self._slot(key)
+        found = self.edge_key[slot]
+        out = np.where(found == key, self.edge_to[slot], -1).astype(np.int64)
+        live = np.flatnonzero((found != key) & (found >= 0))
+        while live.size:
+            slot[live] = (slot[live] + 1) & self.mask
+            found = self.edge_key[slot[live]]
+            hit = found == key[live]
+            out[live[hit]] = self.edge_to[slot[live[hit]]]
+            live = live[~hit & (found >= 0)]
+        return out
 
     def forget(self) -> None:
         self.chunks, self.chunk_ids = _Memo(), _Rows()
@@ -199,7 +243,7 @@ class Bpe:
             live = np.arange(active.size)
             while live.size:
                 live = live[cur[live] < stop[live]]
-                to = self.step[self.node_row[node[live]], buf[cur[live]]]
+                to = self.step(node[live], buf[cur[live]])
                 live, to = live[to >= 0], to[to >= 0]
                 node[live] = to
                 cur[live] += 1
@@ -429,6 +473,12 @@ def model(source: str) -> Bpe:
     return (WordBpe if json.loads(source)["model"].get("end_of_word_suffix") else Bpe)(source)
 
 
+def broadcast(df: DataFrame, path: str) -> Broadcast:
+    """The vocabulary of a file that only the driver needs to see, built there and sent as arrays of some 10 MB."""
+    with open(path, encoding="utf-8") as f:
+        return df.sparkSession.sparkContext.broadcast(model(f.read()))
+
+
 #: What encode() can return for a text.
 OUTPUTS = {
     "n_tokens": T.LongType(), "ids": T.BinaryType(), "decoded": T.StringType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(),
@@ -441,12 +491,11 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", outputs: Sequence[
     tokenizer: path of the vocabulary file, read on the driver. ids: little-endian unsigned 32-bit integers; decoded:
     the text that the ids decode to; the digests are of these two. No shuffle.
     """
-    with open(tokenizer, encoding="utf-8") as f:
-        source = df.sparkSession.sparkContext.broadcast(f.read())
+    shared = broadcast(df, tokenizer)
     names = list(outputs)
 
     def make():
-        bpe = model(source.value)
+        bpe = shared.value
 
         def fn(texts: pa.Array) -> dict:
             ids, ends = bpe.encode(texts.to_pylist())
@@ -464,6 +513,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", outputs: Sequence[
                 out["decoded_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for x in back]
             return out
 
+        fn.close = bpe.forget
         return fn
 
     return map_texts(df, [T.StructField(x, OUTPUTS[x]) for x in names], make, text)
@@ -471,14 +521,13 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", outputs: Sequence[
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", into: str = "text") -> DataFrame:
     """Replace or add `into`: the text of a binary column of little-endian 32-bit ids (null: the empty text)."""
-    with open(tokenizer, encoding="utf-8") as f:
-        source = df.sparkSession.sparkContext.broadcast(f.read())
+    shared = broadcast(df, tokenizer)
     rest = [c for c in df.columns if c.lower() != into.lower()]
     at = rest.index(ids)
     schema = T.StructType([*df.select(*[f"`{c}`" for c in rest]).schema.fields, T.StructField(into, T.StringType())])
 
     def run(batches):
-        bpe = model(source.value)
+        bpe = shared.value
         for batch in batches:
             back = [bpe.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.string())], names=[*batch.schema.names, into])

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -14,44 +13,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from gnosia.operators.tables import checkpointed, ship
+
+__all__ = ["BATCH_ROWS", "SLICE_BYTES", "as_text", "checkpointed", "cut", "map_texts", "release", "ship", "table", "without"]
+
 #: UTF-8 bytes of text handled at once in a Python worker; one longer text is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: Rows of one Arrow batch sent to a Python worker.
 BATCH_ROWS = 512
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each SparkContext; Spark's own file server carries it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_gnosia_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if os.path.isdir(top):
-        path = os.path.join(tempfile.mkdtemp(prefix="gnosia-"), "gnosia.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for folder, _, names in os.walk(top):
-                for n in names:
-                    if n.endswith(".py"):
-                        full = os.path.join(folder, n)
-                        z.write(full, os.path.relpath(full, os.path.dirname(top)))
-        sc.addPyFile(path)
-    sc._gnosia_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in spark.checkpoint.dir; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gnosia-ckpt-"))
-    return df.checkpoint(eager=True)
-
-
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """df without the columns that a result would clash with; names compare without case, as in Spark."""
     low = {n.lower() for n in names}
@@ -74,6 +51,15 @@ def cut(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def release(fn: object = None) -> None:
+    """Give memory back at the end of a task: the worker stays for later stages. fn.close() drops what fn remembers."""
+    if (close := getattr(fn, "close", None)) is not None:
+        close()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(df: DataFrame, fields: Sequence[T.StructField], make: Callable[[], Callable[[pa.Array], dict]], text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """Add `fields`, computed from whole texts by make()(texts); columns of these names are replaced.
 
@@ -86,12 +72,15 @@ def map_texts(df: DataFrame, fields: Sequence[T.StructField], make: Callable[[],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in batches:
-            whole = as_text(batch.column(0))
-            for at, n in cut(whole):
-                got = fn(whole.slice(at, n))
-                cols = [batch.column(i + 1).slice(at, n).cast(arrow.field(i).type) for i in range(len(rest))]
-                cols += [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], arrow.field(f.name).type) for f in fields]
-                yield pa.RecordBatch.from_arrays(cols, names=arrow.names)
+        try:
+            for batch in batches:
+                whole = as_text(batch.column(0))
+                for at, n in cut(whole):
+                    got = fn(whole.slice(at, n))
+                    cols = [batch.column(i + 1).slice(at, n).cast(arrow.field(i).type) for i in range(len(rest))]
+                    cols += [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], arrow.field(f.name).type) for f in fields]
+                    yield pa.RecordBatch.from_arrays(cols, names=arrow.names)
+        finally:
+            release(fn)
 
     return src.mapInArrow(run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gnosia.llm.common import as_text, cut, map_texts
+from gnosia.llm.common import as_text, cut, map_texts, release
 from gnosia.llm.quality import grams
 from gnosia.llm.textvec import raw, sums
 
@@ -191,6 +191,7 @@ def _score(packed: DataFrame, rest: list[str], fields: list[T.StructField], shar
                 cols = [batch.column(i).slice(at, n).cast(arrow.field(i).type) for i in range(len(rest))]
                 cols += [pa.array([names[j] for j in best], pa.string()), pa.array(sure), pa.array([names[j] if f else None for j, f in zip(own, filled, strict=True)], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=arrow.names)
+        release()
 
     return packed.mapInArrow(run, schema)
 

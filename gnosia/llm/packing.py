@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gnosia.llm.bpe import model
+from gnosia.llm.bpe import broadcast
 from gnosia.llm.common import checkpointed, map_texts
 
 CAPACITY = 4096
@@ -42,11 +42,10 @@ def pieces(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
 
     A document is its ids and the end token; only longer ones are cut. ids: little-endian unsigned 32-bit integers.
     """
-    with open(tokenizer, encoding="utf-8") as f:
-        source = df.sparkSession.sparkContext.broadcast(f.read())
+    shared = broadcast(df, tokenizer)
 
     def make():
-        bpe = model(source.value)
+        bpe = shared.value
 
         def fn(texts: pa.Array) -> dict:
             ids, ends = bpe.encode(texts.to_pylist())
@@ -60,6 +59,7 @@ def pieces(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             out = {"__n": n, "__crcs": crcs}
             return out | {"__ids": parts} if with_ids else out
 
+        fn.close = bpe.forget
         return fn
 
     fields = [T.StructField("__n", T.LongType()), T.StructField("__crcs", T.ArrayType(T.LongType()))] + [T.StructField("__ids", T.ArrayType(T.BinaryType()))] * with_ids

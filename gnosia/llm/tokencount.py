@@ -107,6 +107,7 @@ def count_tokens(df: DataFrame, table: list[tuple[str, float]], text: str = "tex
             each = counter.counts([w for x in split for w in x])
             return {"n_words": n, "n_tokens": sums(each, np.concatenate([[0], np.cumsum(n)]))}
 
+        fn.close = counter.known.clear
         return fn
 
     return map_texts(df, [T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())], make, text, keep)
