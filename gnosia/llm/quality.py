@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gnosia.llm.common import as_text, cut, map_texts
+from gnosia.llm.common import as_text, cut, map_texts, release
 from gnosia.llm.textvec import U, mix, raw, sums, words, xxh64
 
 #: Hash buckets of the multinomials, bytes of an n-gram.
@@ -101,6 +101,7 @@ def weights(df: DataFrame, good: list[int], doc_id: str = "doc_id", text: str =
                 if mine.any():
                     target += np.bincount(bucket[mine], minlength=BUCKETS)
         some = np.flatnonzero(total)
+        release()
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some]), pa.array(target[some])], names=["bucket", "n", "good"])
 
     src = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -152,3 +153,24 @@ def judge(df: DataFrame, weight: np.ndarray, text: str = "text", threshold: floa
 def rules(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """Count both multinomials over df and judge every row of it."""
     return judge(df, weights(df, trusted(labels), doc_id, text), text, threshold, keep)
+
+
+def oracle() -> str:
+    """DuckDB SQL of rules() over `documents` and `labels`, without the texts, while there are at most TRUSTED good labels."""
+    word, digit = r"[^\x20\x09-\x0D]+", "instr('0123456789ABCDEF', x[{}]) - 1"
+    return rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS w, hex(encode(coalesce(text, ''))) AS h FROM documents),
+byte AS (SELECT doc_id, i, (16 * ({digit.format(1)}) + {digit.format(2)})::HUGEINT AS v FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(h, '..') AS l FROM d))),
+g AS MATERIALIZED (SELECT doc_id, ((v * 2654435761) % 4294967296) // {1 << (32 - BITS)} AS b FROM (SELECT doc_id, v + 256 * lead(v) OVER o + 65536 * lead(v, 2) OVER o + 16777216 * lead(v, 3) OVER o AS v FROM byte WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE v IS NOT NULL),
+good AS (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0),
+c AS (SELECT b, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM good)) AS k FROM g GROUP BY b),
+s AS (SELECT sum(n) AS n, sum(k) AS k FROM c),
+weight AS MATERIALIZED (SELECT b, CASE WHEN s.k = 0 THEN 0 ELSE round((ln((c.k + 1)::DOUBLE / (s.k + {BUCKETS})) - ln((c.n + 1)::DOUBLE / (s.n + {BUCKETS}))) * 1e6) END::BIGINT AS v FROM c, s),
+score AS (SELECT doc_id, sum(v)::BIGINT AS llr_sum, count(*) AS n_grams FROM g JOIN weight USING (b) GROUP BY doc_id),
+tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE n > 1) GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS l FROM d),
+base AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+ (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words, coalesce(llr_sum, 0) AS llr_sum, coalesce(n_grams, 0) AS n_grams
+ FROM d JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN score USING (doc_id))
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed, NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words) AND llr_sum >= {round(THRESHOLD * 1e6)} * n_grams AS kept FROM base"""

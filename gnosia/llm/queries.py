@@ -85,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL with the same result, where SQL can express the operator.
 ORACLES: dict[str, str] = {
     "op3_licenses": licenses.oracle(),
+    "op5_quality": quality.oracle(),
     "op8_urls": r"""
 WITH rules(rule, verdict) AS (VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')),
 split AS (SELECT rule, verdict, rule[1:instr(rule, '/') - 1] AS rhost, rule[instr(rule, '/'):] AS rpath FROM rules),
