@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +28,10 @@ SHARDS, OVERHEAD = 40, 16
 TOLERANCE = 0.01
 #: Probes laid into an open interval in one round.
 PROBES = 31
-#: Rows of one cell of the exchange, about.
-CELL_ROWS = 20_000
+#: Rows of one cell of the exchange, at most (fewer where there are few rows, so that no group of copies stands out).
+CELL_ROWS, LEAST_ROWS = 20_000, 256
+#: Tasks whose counts the driver adds up itself (some kB each), and the tasks that do so for more of them.
+DIRECT, MERGERS = 512, 64
 LOW = -(1 << 63)
 TOP = (1 << 63) - 1
 
@@ -44,23 +47,48 @@ def cells(h: np.ndarray, ident: np.ndarray, bound_h: np.ndarray, bound_id: np.nd
 
 
 def _counted(keys: DataFrame, bounds: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
-    """Bytes and rows below each boundary, exactly; keys has the columns h, id, size."""
+    """Bytes and rows below each boundary, exactly; keys has the columns h, id, size.
+
+    Each task packs its cells into one row. The driver adds these up; above DIRECT tasks, MERGERS tasks do it first.
+    """
     bh, bi = (np.array([b[k] for b in bounds], np.int64) for k in (0, 1))
+    width = len(bounds) + 1
+
+    def packed(total: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(total[1])
+        blob = np.concatenate([some, total[0][some], total[1][some]]).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % MERGERS]), pa.array([blob], pa.binary())], names=["part", "cells"])
+
+    def add(total: np.ndarray, blob: bytes) -> None:
+        cell, size, rows = np.frombuffer(blob, np.int64).reshape(3, -1)
+        total[0][cell] += size
+        total[1][cell] += rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, rows = np.zeros(len(bounds) + 1, np.int64), np.zeros(len(bounds) + 1, np.int64)
+        total = np.zeros((2, width), np.int64)
         for batch in batches:
             h, ident, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             c = cells(h, ident, bh, bi)
-            np.add.at(size, c, n)
-            rows += np.bincount(c, minlength=rows.size)
-        some = np.flatnonzero(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, size[some], rows[some])], names=["cell", "bytes", "rows"])
+            np.add.at(total[0], c, n)
+            total[1] += np.bincount(c, minlength=width)
+        yield packed(total)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, width), np.int64)
+        for batch in batches:
+            for blob in batch.column(1).to_pylist():
+                add(total, blob)
+        if total[1].any():
+            yield packed(total)
 
-    size, rows = [0] * (len(bounds) + 1), [0] * (len(bounds) + 1)
-    for c, b, n in keys.select("h", "id", "size").mapInArrow(count, "cell long, bytes long, rows long").groupBy("cell").agg(F.sum("bytes"), F.sum("rows")).collect():
-        size[c], rows[c] = b, n
-    return np.cumsum(size).tolist(), np.cumsum(rows).tolist()
+    schema = "part long, cells binary"
+    total = np.zeros((2, width), np.int64)
+    rows = keys.select("h", "id", "size").mapInArrow(count, schema)
+    if keys.rdd.getNumPartitions() > DIRECT:
+        rows = rows.repartition(MERGERS, "part").mapInArrow(merge, schema)
+    for r in rows.collect():
+        add(total, bytes(r["cells"]))
+    return np.cumsum(total[0]).tolist(), np.cumsum(total[1]).tolist()
 
 
 def _between(lo: tuple[int, int], hi: tuple[int, int], ids: tuple[int, int], n: int) -> list[tuple[int, int]]:
@@ -125,6 +153,7 @@ def shard(df: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str
     cut = splitters(keys, shards, tolerance)
     # finer boundaries, for cells of bounded size: evenly by hash, and by id within a hash that is still too large
     rows = keys.count()
+    most = min(CELL_ROWS, max(LEAST_ROWS, rows // (4 * shards)))
     fine = max(4 * shards, -(-2 * rows // CELL_ROWS))
     bounds = sorted({*cut, *((LOW + (1 << 64) * k // fine, LOW) for k in range(1, fine))})
     _, below = _counted(keys, bounds)
@@ -132,7 +161,7 @@ def shard(df: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str
     while rows:
         size_of = np.diff([0, *below])
         ends = [(LOW, LOW), *bounds, (TOP, TOP)]
-        more = [k for i, n in enumerate(size_of.tolist()) if n > CELL_ROWS for k in _between(ends[i], ends[i + 1], (low, high), min(63, n // CELL_ROWS + 1))]
+        more = [k for i, n in enumerate(size_of.tolist()) if n > most for k in _between(ends[i], ends[i + 1], (low, high), min(63, 2 * n // most + 1))]
         more = sorted({*more} - {*bounds})
         if not more:
             break
