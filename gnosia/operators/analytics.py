@@ -9,7 +9,7 @@ from gnosia import model
 from gnosia.functions.text import concept_to_text, shortest
 from gnosia.operators import closure as C
 from gnosia.operators.kb import FALSE, KB, TRUE
-from gnosia.operators.tables import checkpointed
+from gnosia.operators.tables import written as checkpointed
 
 NEG_INF = float("-inf")
 
@@ -352,7 +352,7 @@ def disambiguate(kb: KB, slots: DataFrame) -> DataFrame:
     """
     s = checkpointed(slots.select("request", "slot", "term").distinct())
     o = s.select("request", F.col("slot").alias("slot2"), F.col("term").alias("term2"))
-    pairs = s.join(o, "request").where("slot <> slot2").select("request", F.col("term").alias("a"), F.col("term2").alias("b")).distinct()
+    pairs = checkpointed(s.join(o, "request").where("slot <> slot2").select("request", F.col("term").alias("a"), F.col("term2").alias("b")).distinct())
     apart = pairs.join(kb.prove_disjoint(pairs.select("a", "b"), want_false=False).where(F.col("state") == TRUE).select("a", "b"), ["a", "b"], "left_semi")
     import pandas as pd
 
@@ -373,7 +373,10 @@ def disambiguate(kb: KB, slots: DataFrame) -> DataFrame:
         ranked = sorted(found, key=lambda g: (-len(g), str(g)))
         return pd.DataFrame([(request, i, k, t) for i, g in enumerate(ranked) for k, t in g], columns=["request", "group", "slot", "term"])
 
-    return s.groupBy("request").cogroup(apart.groupBy("request")).applyInPandas(group, "request string, group int, slot int, term string")
+    kinds = dict(s.dtypes)
+    left = s.select(F.col("request").alias("request"), "slot", "term")
+    right = checkpointed(apart.select(F.col("request").alias("request"), "a", "b"))
+    return left.groupBy("request").cogroup(right.groupBy("request")).applyInPandas(group, f"request {kinds['request']}, group int, slot {kinds['slot']}, term string")
 
 
 def subgraph(kb: KB, terms: DataFrame, distance: int = 0) -> DataFrame:

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gnosia.operators.tables import checkpointed, few, ship
+from gnosia.operators.tables import few, ship
+from gnosia.operators.tables import written as checkpointed
 
 #: Distinct edges up to which the adjacency is broadcast.
 SMALL = 200_000

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gnosia import model
 from gnosia.operators import closure as C
 from gnosia.operators.kb import FALSE, KB, TRUE
-from gnosia.operators.tables import checkpointed
+from gnosia.operators.tables import written as checkpointed
 from gnosia.plans import sexpr
 
 #: Error codes in the order of their checks, and whether an edge may pass in a later attempt.
@@ -37,7 +37,7 @@ def argument_constraints(kb: KB, kind: str) -> DataFrame:
     general = kb.active.where((F.col("pred") == f"arg{kind}") & (F.col("sign") == 1) & (F.col("arity") == 3))
     general = general.select(F.col("arg1").alias("pred"), model.number(F.col("arg2")).cast("int").alias("pos"), F.element_at("args", 3).alias("type"))
     numbered = kb.active.where(F.col("pred").rlike(f"^arg[0-9]+{kind}$") & (F.col("sign") == 1))
-    numbered = numbered.select(F.col("arg1").alias("pred"), F.regexp_extract("pred", "^arg([0-9]+)", 1).cast("int").alias("pos"), F.col("arg2").alias("type"))
+    numbered = numbered.select(F.col("arg1").alias("pred"), F.regexp_extract("pred", "^arg([0-9]+)", 1).try_cast("int").alias("pos"), F.col("arg2").alias("type"))
     return general.union(numbered).where(F.col("type") != "Thing").distinct()
 
 

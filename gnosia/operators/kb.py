@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from gnosia import model
 from gnosia.operators import closure as C
-from gnosia.operators.tables import checkpointed, ship
+from gnosia.operators.tables import ship
+from gnosia.operators.tables import written as checkpointed
 
 TRUE, FALSE, NIL = "TRUE", "FALSE", "NIL"
 

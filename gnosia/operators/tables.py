@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        sc = spark.sparkContext
+        if getattr(sc, "_gnosia_folder", None) is None:
+            sc._gnosia_folder = tempfile.mkdtemp(prefix="gnosia-shared-")
+        folder = sc._gnosia_folder
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder: computed once (a checkpoint is computed twice), read by all."""
+    path = f"{shared_folder(df.sparkSession)}/gnosia-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once for each SparkContext."""
     sc = spark.sparkContext

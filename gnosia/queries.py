@@ -18,7 +18,8 @@ from gnosia.operators import analytics as A
 from gnosia.operators import closure as C
 from gnosia.operators import common, constraints, scan
 from gnosia.operators.kb import KB
-from gnosia.operators.tables import checkpointed, ship
+from gnosia.operators.tables import ship
+from gnosia.operators.tables import written as checkpointed
 from gnosia.plans.engine import Engine
 from gnosia.sources import files
 from gnosia.sources.project import EDGE_SQL, ontology, stored

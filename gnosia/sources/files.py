@@ -10,7 +10,8 @@ from gnosia import model
 from gnosia.functions import dates
 from gnosia.operators.constraints import as_text, insert, propagate, strictly_functional, validate
 from gnosia.operators.kb import KB
-from gnosia.operators.tables import checkpointed, ship
+from gnosia.operators.tables import ship
+from gnosia.operators.tables import written as checkpointed
 from gnosia.plans import sexpr
 
 _ROW = T.StructType([

@@ -14,7 +14,7 @@ from gnosia import model
 from gnosia.operators import closure as C
 from gnosia.operators.constraints import insert, validate
 from gnosia.operators.kb import KB
-from gnosia.operators.tables import checkpointed
+from gnosia.operators.tables import written as checkpointed
 
 
 class Maintainer:

@@ -28,7 +28,7 @@ def test_intervals(spark):
     assert got[4:6] == [None, None] and got[6] == ("2020-01-01 00:00:00", "2020-01-01 00:00:00.001000") and got[7:] == [None, None]
 
 
-NAMES = [("SamuelLJackson", "Samuel L Jackson"), ("AppleTree", "Apple Tree"), ("Dog", "Dog"), ("Sam_Jackson-Actor", "Sam Jackson (Actor)"), ("UFO", "UFO"), ("World2Day", "World 2Day"), ("isa2", "isa 2"), ("prettyString-Canonical", "pretty String (Canonical)"), ("A-", "A-"), ("NBATeam", "NBA Team")]
+NAMES = [("SamuelLJackson", "Samuel L Jackson"), ("AppleTree", "Apple Tree"), ("Dog", "Dog"), ("Sam_Jackson-Actor", "Sam Jackson (Actor)"), ("UFO", "UFO"), ("World2Day", "World 2 Day"), ("isa2", "isa 2"), ("prettyString-Canonical", "pretty String (Canonical)"), ("A-", "A-"), ("NBATeam", "NBA Team")]
 
 
 def test_names(spark):
