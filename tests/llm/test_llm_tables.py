@@ -338,7 +338,7 @@ def test_pipeline(spark, tmp_path):
     bad = [(200 + i, " ".join(w.upper() + "!!##" for w in prose(rng, 90).split()), "en", "s1") for i in range(12)] + [(300, "too short", "en", "s1"), (301, None, None, None), (302, "again and again " * 40, "en", "s1")]
     rows = [(i, t, lang, s, len(t or "")) for i, t, lang, s in good + copies + bad]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1, 0) for i, *_ in good[::2]], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i, *_ in good], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs, d = spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)
     kept = [corpus_pipeline.STAGES[0][1](spark, docs, d)]
     assert {r.doc_id for r in kept[0].collect()} == {i for i, *_ in good + copies}
