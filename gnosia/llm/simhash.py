@@ -17,7 +17,7 @@ representative unless its whole component has none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -236,12 +236,12 @@ def hexadecimal(fp: str) -> F.Column:
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """df with one document of each component: the one with the least doc_id, all its columns as they were.
 
-    Rows without a doc_id stay. Of rows that repeat a doc_id one stays.
+    Rows without a doc_id stay. Of rows that repeat a doc_id one stays. find: gives (doc_id, component_id) for every row.
     """
-    found = checkpointed(near_duplicates(df, doc_id, text))
+    found = checkpointed(find(df, doc_id, text))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     key = F.col(f"`{doc_id}`")

@@ -112,6 +112,62 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+# ---- 4 of the pipeline
+
+
+def brute_jaccard(texts):
+    """All pairs of a likeness of 0.8 or more on five-word shingles."""
+    sets = []
+    for t in texts:
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(min(1, len(w)), len(w) - 4))})
+    return [(i, j) for i in range(len(sets)) for j in range(i) if (sets[i] == sets[j]) or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+
+
+def brute_groups(pairs, ids):
+    group = {i: i for i in ids}
+    for i, j in [*pairs] * len(ids):
+        group[ids[i]] = group[ids[j]] = min(group[ids[i]], group[ids[j]])
+        if all(group[ids[a]] == group[ids[b]] for a, b in pairs):
+            break
+    return group
+
+
+@pytest.mark.parametrize("bucket", [16, 2])
+def test_near_copies_by_likeness(spark, bucket):
+    """Copies with a few words changed, which two bits of a fingerprint miss; chains; a dense group (bucket 2: by pivots)."""
+    from gnosia.llm import likeness
+
+    rng = random.Random(7)
+    texts = [None, "", " \n", "one", "One", "one two"]
+    for k in range(12):
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(50, 160))]
+        texts.append(" ".join(w))
+        for _ in range(25 if k == 0 else 4):  # each a change or more further from the first
+            w = list(w) if k % 2 else texts[-1 - (k == 0) * rng.randrange(2)].split()
+            for _ in range(rng.randint(1, 3)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w).replace("w1", "W1"))
+    rows = [(500 - i, t) for i, t in enumerate(texts)]
+    ids, pairs = [i for i, _ in rows], brute_jaccard(texts)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_groups(pairs, ids)
+    assert {r.doc_id: r.component_id for r in likeness.near_duplicates(df, bucket=bucket).collect()} == want
+    old = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert sum(old[ids[i]] != old[ids[j]] for i, j in pairs) > len(pairs) / 2
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    w = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:60], "a", *w[61:120], "b", *w[121:], "c"])), (3, " ".join(w[:100]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert brute_jaccard([t for _, t in rows]) == [(1, 0)]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
 # ---- 5
 
 
