@@ -60,14 +60,14 @@ def release(fn: object = None) -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_texts(df: DataFrame, fields: Sequence[T.StructField], make: Callable[[], Callable[[pa.Array], dict]], text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+def map_texts(df: DataFrame, fields: Sequence[T.StructField], make: Callable[[], Callable[[pa.Array], dict]], text: str = "text", keep: Sequence[str] | None = None, beside: str | None = None) -> DataFrame:
     """Add `fields`, computed from whole texts by make()(texts); columns of these names are replaced.
 
-    keep: the columns of df that stay (all by default). No shuffle; memory is bounded by SLICE_BYTES or the longest text.
+    keep: the columns of df that stay (all by default). beside: a column that make() gets too, as strings: make()(texts, strings). No shuffle; memory is bounded by SLICE_BYTES or the longest text.
     """
     rest = [c for c in (df.columns if keep is None else keep) if c.lower() not in {f.name.lower() for f in fields}]
-    src = df.select(F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in rest])
-    schema = T.StructType([*src.schema.fields[1:], *fields])
+    src = df.select(F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in rest], *([F.col(f"`{beside}`").cast("string").alias("__beside")] if beside else []))
+    schema = T.StructType([*src.schema.fields[1 : 1 + len(rest)], *fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +76,7 @@ def map_texts(df: DataFrame, fields: Sequence[T.StructField], make: Callable[[],
             for batch in batches:
                 whole = as_text(batch.column(0))
                 for at, n in cut(whole):
-                    got = fn(whole.slice(at, n))
+                    got = fn(whole.slice(at, n)) if beside is None else fn(whole.slice(at, n), batch.column(len(rest) + 1).slice(at, n))
                     cols = [batch.column(i + 1).slice(at, n).cast(arrow.field(i).type) for i in range(len(rest))]
                     cols += [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], arrow.field(f.name).type) for f in fields]
                     yield pa.RecordBatch.from_arrays(cols, names=arrow.names)

@@ -3,7 +3,12 @@
 Byte n-grams of every document are hashed into BUCKETS buckets. Two multinomials are counted: the trusted target (a
 bounded, deterministic sample of labelled good documents, see trusted()) and the raw corpus (all documents). The score of
 a document is the mean over its n-grams of log(target / raw); a document is kept if the score reaches a fixed
-threshold and the base rules hold. Weights are whole numbers (millionths of a nat), so sums do not depend on order.
+documents. Weights are whole numbers (millionths of a nat), so sums do not depend on order.
+
+With a column of languages both multinomials are those of the document's own language, so a language that is labelled
+less often than others loses nothing by that. The target is then smoothed by the raw corpus of the language: the fewer
+trusted documents, the nearer all scores are to zero; in a language without any only the base rules decide. The score is that of the language or of all languages together,
+whichever is greater, so that a document with a wrong language is not lost.
 
 Results: null and blank texts have no words and fail the base rules; a text shorter than an n-gram scores zero; without
 trusted documents all weights are zero, and only the base rules decide.
@@ -19,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gnosia.llm.common import as_text, cut, map_texts, release
+from gnosia.llm.common import as_text, checkpointed, cut, map_texts, release
 from gnosia.llm.textvec import U, mix, raw, sums, words, xxh64
 
 #: Hash buckets of the multinomials, bytes of an n-gram.
@@ -27,6 +32,10 @@ BITS, GRAM = 15, 4
 BUCKETS = 1 << BITS
 #: Labelled documents that the target is counted on, at most.
 TRUSTED = 20_000
+#: Languages that a task counts at once; more are passed on in parts.
+MOST_COUNTED = 64
+#: Stands for all languages together.
+POOLED = "\0"
 #: Mean log-likelihood ratio, in nats for each n-gram, that a kept document reaches.
 THRESHOLD = -0.3
 #: The base rules: least words, and most words (per cent) in three-word windows that occur again.
@@ -115,19 +124,92 @@ def weights(df: DataFrame, good: list[int], doc_id: str = "doc_id", text: str =
     return np.round(ratio * 1e6).astype(np.int64)
 
 
+def weights_by_language(df: DataFrame, good: list[int], lang: str, doc_id: str = "doc_id", text: str = "text") -> dict[str | None, tuple[int, np.ndarray, np.ndarray]]:
+    """By language with trusted documents: the weight of buckets without trusted n-grams, the others, their weights.
+
+    The null language is one too, and POOLED is all of them together. Buckets kept: at most one for each n-gram of the trusted documents.
+    """
+    ids = np.array(good, np.int64)
+    src = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
+    mine = df.sparkSession.createDataFrame([(i,) for i in good], "doc_id long")
+    langs = {r[0] for r in src.select("doc_id", "lang").join(F.broadcast(mine), "doc_id").select("lang").distinct().collect()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str | None, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for name, (n, k) in totals.items():
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * some.size, pa.string()), pa.array(some), pa.array(n[some]), pa.array(k[some])], names=["lang", "bucket", "n", "good"])
+            totals.clear()
+
+        for batch in batches:
+            texts, ident, of = as_text(batch.column(1)), batch.column(0), np.array(batch.column(2).to_pylist(), object)
+            hit = np.isin(ident.fill_null(0).to_numpy(zero_copy_only=False), ids) & ident.is_valid().to_numpy(zero_copy_only=False)
+            for at, m in cut(texts):
+                bucket, ptr = grams(*raw(texts.slice(at, m)))
+                for name in {*of[at : at + m]} & langs:
+                    if name not in totals and len(totals) == MOST_COUNTED:
+                        yield from flush()
+                    total = totals.setdefault(name, np.zeros((2, BUCKETS), np.int64))
+                    for row, docs in ((0, of[at : at + m] == name), (1, (of[at : at + m] == name) & hit[at : at + m])):
+                        if docs.any():
+                            total[row] += np.bincount(bucket[np.repeat(docs, np.diff(ptr))], minlength=BUCKETS)
+        yield from flush()
+        release()
+
+    rows = checkpointed(src.mapInArrow(count, "lang string, bucket long, n long, good long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
+    sizes = {r[0]: (r[1], r[2]) for r in rows.groupBy("lang").agg(F.sum("n"), F.sum("good")).collect() if r[2]}
+    if not sizes:
+        return {}
+    got = rows.where("good > 0").toPandas()
+    parts = {name if isinstance(name, str) else None: mine for name, mine in got.groupby("lang", dropna=False)}
+    parts[POOLED] = rows.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).where("good > 0").toPandas()
+    sizes[POOLED] = tuple(sum(x) for x in zip(*rows.groupBy("lang").agg(F.sum("n"), F.sum("good")).select("sum(n)", "sum(good)").collect(), strict=True))
+    out = {}
+    for name, mine in parts.items():
+        share, k = mine["n"].to_numpy() / sizes[name][0], sizes[name][1]
+        ratio = np.log((mine["good"].to_numpy() + BUCKETS * share) / (k + BUCKETS)) - np.log(share)
+        out[name] = (round(float(np.log(BUCKETS / (k + BUCKETS))) * 1e6), mine["bucket"].to_numpy(), np.round(ratio * 1e6).astype(np.int64))
+    return out
+
+
 FIELDS = [
     *(T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr_sum", "n_grams")),
     T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()),
 ]
 
 
-def judge(df: DataFrame, weight: np.ndarray, text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """Add the base counts, llr_sum (millionths of a nat) over n_grams, base_failed and kept. No shuffle."""
+def judge(df: DataFrame, weight: np.ndarray | dict, text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None, lang: str | None = None) -> DataFrame:
+    """Add the base counts, llr_sum (millionths of a nat) over n_grams, base_failed and kept. No shuffle.
+
+    weight: by bucket; with lang, the result of weights_by_language().
+    """
     least = round(threshold * 1e6)
     table = df.sparkSession.sparkContext.broadcast(weight)
 
     def make():
-        def fn(texts: pa.Array) -> dict:
+        def scores(bucket: np.ndarray, gptr: np.ndarray, langs: pa.Array | None) -> np.ndarray:
+            if langs is None:
+                return sums(table.value[bucket], gptr)
+            of, out = np.array(langs.to_pylist(), object), np.zeros(gptr.size - 1, np.int64)
+
+            def weight_of(name: str | None) -> np.ndarray:
+                other, some, value = table.value[name]
+                own = np.full(BUCKETS, other, np.int64)
+                own[some] = value
+                return own
+
+            names = {*of} & table.value.keys()
+            pooled = sums(weight_of(POOLED)[bucket], gptr) if names else out
+            for name in names:
+                docs = of == name
+                inside = np.repeat(docs, np.diff(gptr))
+                own = sums(weight_of(name)[bucket[inside]], np.concatenate([[0], np.cumsum(np.diff(gptr)[docs])]))
+                out[docs] = np.maximum(own, pooled[docs])
+            return out
+
+        def fn(texts: pa.Array, langs: pa.Array | None = None) -> dict:
             buf, offs = raw(texts)
             starts, lens, ptr = words(buf, offs)
             n = np.diff(ptr)
@@ -137,7 +219,7 @@ def judge(df: DataFrame, weight: np.ndarray, text: str = "text", threshold: floa
             letter = (np.cumsum(of_word[:-1]) > 0) & ((buf & 0xC0) != 0x80)
             again = repeated(buf, starts, lens, ptr)
             bucket, gptr = grams(buf, offs)
-            score, m = sums(table.value[bucket], gptr), np.diff(gptr)
+            score, m = scores(bucket, gptr, langs), np.diff(gptr)
             failed = (n < MIN_WORDS) | (100 * again > MAX_REPEAT * n)
             return {
                 "n_words": n, "word_chars": sums(letter, offs), "n_symbols": sums(SYMBOLS[buf], offs),
@@ -147,12 +229,13 @@ def judge(df: DataFrame, weight: np.ndarray, text: str = "text", threshold: floa
 
         return fn
 
-    return map_texts(df, FIELDS, make, text, keep)
+    return map_texts(df, FIELDS, make, text, keep, lang)
 
 
-def rules(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """Count both multinomials over df and judge every row of it."""
-    return judge(df, weights(df, trusted(labels), doc_id, text), text, threshold, keep)
+def rules(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None, lang: str | None = None) -> DataFrame:
+    """Count both multinomials over df (lang: a column; those of each language) and judge every row of it."""
+    good = trusted(labels)
+    return judge(df, weights(df, good, doc_id, text) if lang is None else weights_by_language(df, good, lang, doc_id, text), text, threshold, keep, lang)
 
 
 def oracle() -> str:

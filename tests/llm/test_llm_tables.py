@@ -219,6 +219,20 @@ def test_quality(spark):
     assert quality.rules(df.limit(0), labels).count() == 0
 
 
+def test_quality_of_an_under_labelled_language(spark):
+    """German is labelled a tenth as often as English: its good documents stay, junk of both goes."""
+    rng = random.Random(11)
+    en, de = [f"{w}{i % 40}" for i, w in enumerate(EN * 12)], [f"{w}{i % 40}" for i, w in enumerate(DE * 12)]
+    rows = [(i, prose(rng, 120, en), "en") for i in range(60)] + [(100 + i, prose(rng, 120, de), "de") for i in range(60)] + [(200 + i, prose(rng, 120, de[::-1]), None) for i in range(3)]
+    rows += [(300 + i, " ".join(w.upper() + "!!###" for w in prose(rng, 90, en).split()), "en") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(60), *range(100, 160, 10)]], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.rules(df, labels, lang="lang", keep=["doc_id"]).where("kept").collect()}
+    assert kept == {i for i, *_ in rows if i < 300}
+    old = {r.doc_id for r in quality.rules(df, labels, keep=["doc_id"]).where("kept").collect()}
+    assert not old & {*range(100, 160)} - {*range(100, 160, 10)}
+
+
 # ---- 6
 
 
