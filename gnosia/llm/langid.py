@@ -23,13 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gnosia.llm.common import as_text, cut, map_texts, release
+from gnosia.llm.common import as_text, checkpointed, cut, map_texts, release
 from gnosia.llm.quality import grams
-from gnosia.llm.textvec import raw, sums
+from gnosia.llm.textvec import gather, raw, sums
 
 BITS, GRAM = 14, 3
-#: A language is modelled from this share of the labelled documents on (hence at most 1,000 languages).
-LEAST_SHARE = 0.001
+#: Every language with a labelled n-gram is modelled; from this many buckets on by a row of all of them.
+DENSE = 1 << BITS - 3
+#: Languages that a task counts at once (more are passed on in parts), entries of sparse languages looked up at once.
+MOST_COUNTED, MOST_ENTRIES = 256, 1 << 21
 #: Weight of the parent level in a prior, in votes.
 STRENGTH = 10.0
 #: How often declared markup and address suffix are right.
@@ -45,49 +47,99 @@ COUNTRY = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es
 
 
 class Model:
-    """Languages, and log P(trigram | language) with a last row for `und`."""
+    """Languages, and log P(trigram | language) in thousandths of a nat: whole numbers, so sums do not depend on order.
 
-    def __init__(self, languages: list[str], counts: np.ndarray) -> None:
+    A language seen in DENSE buckets or more has a row of all of them. Any other has a constant, added to the row of all
+    languages together, and the differences in the buckets it was seen in: it backs off to the trigrams of all languages,
+    and its memory goes with its own n-grams.
+    """
+
+    def __init__(self, languages: list[str], row: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> None:
+        size = 1 << BITS
         self.languages = languages
-        size = counts.shape[1]
-        self.logp = np.vstack([np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * size)), np.full(size, -math.log(size))])
-        # thousandths of a nat: whole numbers, so that sums do not depend on order
-        self.whole = np.round(self.logp * 1000).astype(np.int64)
+        total = np.bincount(row, weights=n, minlength=len(languages))
+        seen = np.bincount(row, minlength=len(languages))
+        self.dense, self.sparse = np.flatnonzero(seen >= DENSE), np.flatnonzero(seen < DENSE)
+        self.unlike = round(-1000 * math.log(size))
+        milli = lambda p: np.round(1000 * np.log(p)).astype(np.int32)
+        self.rows = np.zeros((self.dense.size, size), np.int32)
+        order = np.lexsort((bucket, row))
+        row, bucket, n = row[order], bucket[order], n[order]
+        for at, lang in enumerate(self.dense):
+            lo, hi = np.searchsorted(row, [lang, lang + 1])
+            counts = np.zeros(size)
+            counts[bucket[lo:hi]] = n[lo:hi]
+            self.rows[at] = milli((counts + 0.5) / (total[lang] + 0.5 * size))
+        every = (np.bincount(bucket, weights=n, minlength=size) + 0.5) / (total.sum() + 0.5 * size)
+        self.every, back = milli(every), 0.5 * size
+        self.constant = milli(back / (total[self.sparse] + back)).astype(np.int64)
+        few = np.zeros(len(languages), bool)
+        few[self.sparse] = True
+        mine = np.flatnonzero(few[row])
+        mine = mine[np.argsort(bucket[mine], kind="stable")]
+        self.ptr = np.searchsorted(bucket[mine], np.arange(size + 1))
+        place = np.cumsum(few) - 1
+        self.of = place[row[mine]].astype(np.int32)
+        p = (n[mine] + back * every[bucket[mine]]) / (total[row[mine]] + back)
+        self.more = (milli(p) - self.every[bucket[mine]] - self.constant[self.of]).astype(np.int32)
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
         """log P(text | l) of each text, one column for each language and `und`."""
         bucket, ptr = grams(*raw(texts), GRAM, BITS)
-        return np.column_stack([sums(row[bucket], ptr) for row in self.whole]) / (1000.0 * GRAM)
+        length = np.diff(ptr)
+        out = np.zeros((length.size, len(self.languages) + 1), np.int64)
+        out[:, -1] = self.unlike * length
+        for lang, weight in zip(self.dense, self.rows, strict=True):
+            out[:, lang] = sums(weight[bucket], ptr)
+        if self.sparse.size:
+            width = self.sparse.size
+            part = np.zeros(length.size * width)
+            lens = (self.ptr[1:] - self.ptr[:-1])[bucket]
+            doc, ends = np.repeat(np.arange(length.size), length), np.cumsum(lens)
+            at = 0
+            while at < bucket.size:  # bounded parts, however many languages share a bucket
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MOST_ENTRIES, "right")))
+                entry = gather(self.ptr[bucket[at:to]], lens[at:to])
+                np.add.at(part, np.repeat(doc[at:to], lens[at:to]) * width + self.of[entry], self.more[entry])
+                at = to
+            out[:, self.sparse] = sums(self.every[bucket], ptr)[:, None] + length[:, None] * self.constant + part.reshape(-1, width).astype(np.int64)
+        return out / (1000.0 * GRAM)
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Count all documents of each language; the driver gets a table of fixed size for each language."""
-    src = df.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).where("lang is not null")
-    sizes = {r[0]: r[1] for r in src.groupBy("lang").count().withColumn("all", F.sum("count").over(_all())).where(F.col("count") >= LEAST_SHARE * F.col("all")).select("lang", "count").collect()}
-    languages = sorted(x for x in sizes if x != "und")
+    """Count all documents of each language; the driver gets at most one number for each language and bucket."""
+    src = df.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).where("lang is not null and lang <> 'und'")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), 1 << BITS), np.int64)
-        for batch in batches:
-            texts, of = as_text(batch.column(0)), np.array([languages.index(x) if x in sizes and x != "und" else -1 for x in batch.column(1).to_pylist()])
-            for at, n in cut(texts):
-                bucket, ptr = grams(*raw(texts.slice(at, n)), GRAM, BITS)
-                row = np.repeat(of[at : at + n], np.diff(ptr))
-                total += np.bincount((row * (1 << BITS) + bucket)[row >= 0], minlength=total.size).reshape(total.shape)
-        row, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(bucket), pa.array(total[row, bucket])], names=["row", "bucket", "n"])
+        totals: dict[str, np.ndarray] = {}
 
-    counts = np.zeros((len(languages), 1 << BITS))
-    if languages:
-        for r, b, n in src.mapInArrow(count, "row long, bucket long, n long").groupBy("row", "bucket").agg(F.sum("n")).collect():
-            counts[r, b] = n
-    return Model(languages, counts)
+        def flush() -> Iterator[pa.RecordBatch]:
+            for name, total in totals.items():
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * some.size, pa.string()), pa.array(some), pa.array(total[some])], names=["lang", "bucket", "n"])
+            totals.clear()
 
+        for batch in batches:
+            texts, of = as_text(batch.column(0)), np.array(batch.column(1).to_pylist(), object)
+            for at, m in cut(texts):
+                bucket, ptr = grams(*raw(texts.slice(at, m)), GRAM, BITS)
+                names, code = np.unique(of[at : at + m].astype(str), return_inverse=True)
+                code = np.repeat(code, np.diff(ptr))
+                order = np.argsort(code, kind="stable") if names.size > 1 else np.arange(code.size)
+                cuts = np.searchsorted(code[order], np.arange(names.size + 1))
+                for k, name in enumerate(names.tolist()):
+                    if name not in totals and len(totals) == MOST_COUNTED:
+                        yield from flush()
+                    total = totals.setdefault(name, np.zeros(1 << BITS, np.int64))
+                    total += np.bincount(bucket[order[cuts[k] : cuts[k + 1]]], minlength=total.size)
+        yield from flush()
+        release()
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
+    got = src.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names = got.column("lang").to_pylist()
+    languages = sorted({*names})
+    number = {x: i for i, x in enumerate(languages)}
+    return Model(languages, np.array([number[x] for x in names], np.int64), got.column("bucket").to_numpy().astype(np.int64), got.column("n").to_numpy().astype(np.int64))
 
 
 def domain(host: Column) -> Column:
@@ -101,14 +153,17 @@ def suffix_language(host: Column, path: Column) -> Column:
     return F.coalesce(F.try_element_at(pairs, F.substring_index(host, ".", -1)), F.nullif(F.regexp_extract(path, "^/([a-z]{2})(?:/|$)", 1), F.lit("")))
 
 
-def _priors(df: DataFrame, languages: list[str]) -> DataFrame:
-    """(host, counts by language of the host, of its domain, of all), from rows (host, vote)."""
-    wide = df.groupBy("host").agg(*[F.count(F.when(F.col("vote") == i, 1)).alias(f"c{i}") for i in range(len(languages))])
-    up = wide.groupBy(domain(F.col("host")).alias("domain")).agg(*[F.sum(f"c{i}").alias(f"d{i}") for i in range(len(languages))])
-    all_ = [int(x or 0) for x in up.agg(*[F.sum(f"d{i}") for i in range(len(languages))]).first()] if languages else []
-    out = wide.join(up, domain(wide.host).eqNullSafe(up.domain), "left")
-    arrays = [F.array(*[F.col(f"{c}{i}").cast("double") for i in range(len(languages))]) for c in "cd"]
-    return out.select("host", F.concat(*arrays, F.array(*[F.lit(float(x)) for x in all_])).alias("votes"))
+def _priors(df: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
+    """(host, votes: those of the host, those of its domain, each as language, count, language, count ...), and the counts of all; from rows (host, vote)."""
+    each = checkpointed(df.groupBy("host", "vote").agg(F.count(F.lit(1)).alias("n")).withColumn("domain", domain(F.col("host"))))
+    up = each.where("vote is not null").groupBy("domain", "vote").agg(F.sum("n").alias("n"))
+    flat = lambda name: F.flatten(F.collect_list(F.when(F.col("vote").isNotNull(), F.array(F.col("vote").cast("long"), F.col("n"))))).alias(name)
+    all_ = np.zeros(width)
+    for vote, n in up.groupBy("vote").agg(F.sum("n")).collect():
+        all_[vote] = n
+    hosts, domains = each.groupBy("host", "domain").agg(flat("h")), up.groupBy("domain").agg(flat("d"))
+    out = hosts.join(domains, hosts.domain.eqNullSafe(domains.domain), "left")
+    return out.select("host", F.array("h", F.coalesce("d", F.array().cast("array<long>"))).alias("votes")), all_
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", declared: str | None = None, suffix: str | None = None, host: str | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -118,8 +173,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", declared: str | No
     Two passes over the texts: votes by host, then posteriors. Texts move only if there are more than BROADCAST_HOSTS
     hosts.
     """
-    langs, shared = model.languages, df.sparkSession.sparkContext.broadcast(model)
-    width = len(langs)
+    shared, width = df.sparkSession.sparkContext.broadcast(model), len(model.languages)
 
     def vote():
         def fn(texts: pa.Array) -> dict:
@@ -134,19 +188,20 @@ def identify(df: DataFrame, model: Model, text: str = "text", declared: str | No
     src = df.select(*[F.col(f"`{c}`") for c in rest], col(text).alias("__body"), col(declared).alias("__declared"), col(suffix).alias("__suffix"), col(host).alias("__host"))
     if host and width:
         votes = map_texts(src.select("__body", F.col("__host").alias("host")).where("host is not null"), [T.StructField("vote", T.IntegerType())], vote, "__body", ["host"])
-        priors = _priors(votes, langs).withColumnRenamed("host", "__of")
+        priors, all_ = _priors(votes, width)
+        priors = priors.withColumnRenamed("host", "__of")
         few = priors.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
         src = src.join(F.broadcast(priors) if few else priors, F.col("__host") == F.col("__of"), "left").drop("__of")
     else:
-        src = src.withColumn("votes", F.lit(None).cast("array<double>"))
+        src, all_ = src.withColumn("votes", F.lit(None).cast("array<array<long>>")), np.zeros(width)
 
     fields = [T.StructField("language", T.StringType()), T.StructField("posterior", T.DoubleType()), T.StructField("text_language", T.StringType())]
     extra = ["__declared", "__suffix", "votes"]
     packed = src.select(*[F.col(f"`{c}`") for c in rest], F.struct("__body", *extra).alias("__in"))
-    return _score(packed, rest, fields, shared, width)
+    return _score(packed, rest, fields, shared, width, all_)
 
 
-def _score(packed: DataFrame, rest: list[str], fields: list[T.StructField], shared, width: int) -> DataFrame:
+def _score(packed: DataFrame, rest: list[str], fields: list[T.StructField], shared, width: int, all_: np.ndarray) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = T.StructType([*packed.select(*[F.col(f"`{c}`") for c in rest]).schema.fields, *fields])
@@ -171,7 +226,10 @@ def _score(packed: DataFrame, rest: list[str], fields: list[T.StructField], shar
                     prior[:, :width] = math.log((1 - UNKNOWN) / width)
                 for i, v in enumerate(votes.slice(at, n).to_pylist()):
                     if v is not None and width:
-                        c = np.array(v).reshape(3, width)
+                        c = np.zeros((3, width))
+                        for level in (0, 1):
+                            c[level, v[level][::2]] = v[level][1::2]
+                        c[2] = all_
                         if own_vote[i] < width:
                             c[:, own_vote[i]] = np.maximum(c[:, own_vote[i]] - 1, 0)
                         p = np.full(width, 1 / width)

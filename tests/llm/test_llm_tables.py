@@ -256,6 +256,18 @@ def test_language(spark):
     assert {r.language for r in langid.identify(df, empty, declared="said", host="host").collect()} == {"und"}
 
 
+def test_rare_language(spark):
+    """One document of 2,001 in its language: still found, by its text and by its declaration, and not given to other texts."""
+    rng = random.Random(12)
+    rare = "kuu paistab öösel üle vaikse järve ning väike paat sõidab koju sest tuul puhub metsast".split()
+    rows = [(prose(rng, 12), "en") for _ in range(1500)] + [(prose(rng, 12, DE), "de") for _ in range(500)] + [(prose(rng, 60, rare), "et")]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == ["de", "en", "et"]
+    asked = [(0, prose(rng, 40, rare), None, "a.com"), (1, None, "et", None), (2, prose(rng, 40), None, "a.com"), (3, prose(rng, 40, DE), None, "a.com"), (4, "щъжю ыэбц " * 30, None, None)]
+    got = langid.identify(spark.createDataFrame(asked, "id long, text string, said string, host string"), model, declared="said", host="host").collect()
+    assert [r.language for r in sorted(got)] == ["et", "et", "en", "de", "und"]
+
+
 def test_page_parts(spark):
     html = '<!DOCTYPE html><html class="x" lang="de-AT"><head><script>var t="<p>";</script><style>p{}</style></head><body><p>Hallo&nbsp;Welt</p><!-- x --></body></html>'
     df = spark.createDataFrame([(html, "a.b.de", "/en/x"), (None, "a.com", "/fr/"), ("plain", None, None)], "html string, host string, path string")
