@@ -1,4 +1,4 @@
-"""Checkpoints and size checks that iterative operators need."""
+"""Written tables and size checks that iterative operators need."""
 
 from __future__ import annotations
 
@@ -10,30 +10,48 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in spark.checkpoint.dir, which all executors share; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gnosia-ckpt-"))
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder of spark.checkpoint.dir; one of our own only where none is set and one machine does everything."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         sc = spark.sparkContext
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if getattr(sc, "_gnosia_folder", None) is None:
             sc._gnosia_folder = tempfile.mkdtemp(prefix="gnosia-shared-")
         folder = sc._gnosia_folder
     return folder.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, p = _hadoop(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared folder: computed once (a checkpoint is computed twice), read by all."""
-    path = f"{shared_folder(df.sparkSession)}/gnosia-{uuid.uuid4().hex}"
+    """Cut the lineage with a table in the shared folder: computed once, read by all, its size known to the optimizer.
+
+    A checkpoint keeps the estimates of the plan before it, which square with each join of a loop.
+    """
+    path = temporary(df.sparkSession, "gnosia")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._gnosia_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a table of written() that nothing will read again."""
+    fs, p = _hadoop(df.sparkSession, df._gnosia_path)
+    fs.delete(p, True)
 
 
 def ship(spark: SparkSession) -> None:

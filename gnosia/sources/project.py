@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from gnosia.model import EDGES, edges_from_pairs
+from gnosia.operators.tables import temporary
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "conversations")
 #: What the derived ontology asserts beside the rows of the tables.
@@ -57,8 +55,7 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gnosia-edges-")
-        path = f"{folder.rstrip('/')}/edges-{uuid.uuid4().hex}"
+        path = temporary(spark, "edges")
         ontology(spark, sf_dir).write.partitionBy("pred").parquet(path)
         _stored[key] = path
     names = [c.strip().split(" ")[0] for c in EDGES.replace("map<string,string>", "map").split(",")]
