@@ -1,4 +1,4 @@
-"""Shared plumbing of the text operators: Arrow batches in bounded slices, checkpoints, table access."""
+"""Shared plumbing of the text operators: Arrow batches in bounded slices, table access."""
 
 from __future__ import annotations
 
@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from gnosia.operators.tables import checkpointed, ship
+from gnosia.operators.tables import dropped, ship, temporary, written
 
-__all__ = ["BATCH_ROWS", "SLICE_BYTES", "as_text", "checkpointed", "cut", "map_texts", "release", "ship", "table", "without"]
+__all__ = ["BATCH_ROWS", "SLICE_BYTES", "as_text", "cut", "dropped", "map_texts", "release", "ship", "table", "temporary", "without", "written"]
 
 #: UTF-8 bytes of text handled at once in a Python worker; one longer text is handled alone.
 SLICE_BYTES = 1 << 19

@@ -8,11 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gnosia.llm.common import checkpointed
+from gnosia.llm.common import dropped, written
+
+#: Nodes that a task holds at once.
+MOST = 1 << 20
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the edges of one partition by stars with the same components."""
+    """Replace the edges of one partition by stars with the same components, at most MOST nodes at once."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -23,14 +26,20 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = top, parent[x]
         return top
 
+    def stars() -> Iterator[pa.RecordBatch]:
+        pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
+        for i in range(0, len(pairs), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in pairs[i : i + 65536]], pa.int64()) for j in (0, 1)], names=["u", "v"])
+        parent.clear()
+
     for batch in batches:
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = root(u), root(v)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
-    for i in range(0, len(pairs), 65536):
-        yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in pairs[i : i + 65536]], pa.int64()) for j in (0, 1)], names=["u", "v"])
+        if len(parent) > MOST:
+            yield from stars()
+    yield from stars()
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -43,17 +52,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge: root is the least node of its component.
 
     edges: columns u, v (long); loops and repeated edges do no harm; an empty table gives an empty one. Large-star and
-    small-star steps alternate until the edges stay the same; each round ends in a checkpoint.
+    small-star steps alternate until the edges stay the same; each round ends in a written table. The rounds needed grow
+    with the logarithm of the longest path; after most_rounds it raises, and never returns a partial result.
     """
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
-    e = checkpointed(e.mapInArrow(_contract, "u long, v long"))
+    e = written(e.mapInArrow(_contract, "u long, v long"))
     seen = None
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         small = _with_least(down)
-        e = checkpointed(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct())
+        old, e = e, written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct())
+        dropped(old)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gnosia.llm.common import as_text, checkpointed, cut, map_texts, release
+from gnosia.llm.common import as_text, cut, map_texts, release, written
 from gnosia.llm.quality import grams
 from gnosia.llm.textvec import gather, raw, sums
 
@@ -155,7 +155,7 @@ def suffix_language(host: Column, path: Column) -> Column:
 
 def _priors(df: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     """(host, votes: those of the host, those of its domain, each as language, count, language, count ...), and the counts of all; from rows (host, vote)."""
-    each = checkpointed(df.groupBy("host", "vote").agg(F.count(F.lit(1)).alias("n")).withColumn("domain", domain(F.col("host"))))
+    each = written(df.groupBy("host", "vote").agg(F.count(F.lit(1)).alias("n")).withColumn("domain", domain(F.col("host"))))
     up = each.where("vote is not null").groupBy("domain", "vote").agg(F.sum("n").alias("n"))
     flat = lambda name: F.flatten(F.collect_list(F.when(F.col("vote").isNotNull(), F.array(F.col("vote").cast("long"), F.col("n"))))).alias(name)
     all_ = np.zeros(width)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gnosia.llm.bpe import broadcast
-from gnosia.llm.common import checkpointed, map_texts
+from gnosia.llm.common import map_texts, written
 
 CAPACITY = 4096
 END_TOKEN = 1
@@ -160,7 +160,7 @@ def pack(items: DataFrame, key: list[str], capacity: int = CAPACITY) -> DataFram
     total = items.count()
     salts = max(8, -(-total // RANKED))
     salted = items.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in key]), F.lit(salts)))
-    part = checkpointed(salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n")))
+    part = written(salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n")))
     counts = {int(r[0]): int(r[1]) for r in part.groupBy("length").agg(F.sum("__n")).collect()}
     runs = plan(counts, capacity)
     table = np.array(sorted(runs), np.int64).reshape(-1, 6)
@@ -195,5 +195,5 @@ def pack(items: DataFrame, key: list[str], capacity: int = CAPACITY) -> DataFram
 
 def pack_documents(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_token: int = END_TOKEN) -> DataFrame:
     """Cut and pack all documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    items = checkpointed(pieces(df, tokenizer, doc_id, text, capacity, end_token))
+    items = written(pieces(df, tokenizer, doc_id, text, capacity, end_token))
     return pack(items, ["doc_id", "piece", "start", "length", "ids_crc32"], capacity)

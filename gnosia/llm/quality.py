@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gnosia.llm.common import as_text, checkpointed, cut, map_texts, release
+from gnosia.llm.common import as_text, cut, map_texts, release, written
 from gnosia.llm.textvec import U, mix, raw, sums, words, xxh64
 
 #: Hash buckets of the multinomials, bytes of an n-gram.
@@ -158,7 +158,7 @@ def weights_by_language(df: DataFrame, good: list[int], lang: str, doc_id: str =
         yield from flush()
         release()
 
-    rows = checkpointed(src.mapInArrow(count, "lang string, bucket long, n long, good long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
+    rows = written(src.mapInArrow(count, "lang string, bucket long, n long, good long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
     sizes = {r[0]: (r[1], r[2]) for r in rows.groupBy("lang").agg(F.sum("n"), F.sum("good")).collect() if r[2]}
     if not sizes:
         return {}

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gnosia.llm.common import checkpointed, without
+from gnosia.llm.common import without, written
 
 SHARDS, OVERHEAD = 40, 16
 #: Most bytes that a splitter may be off, as a share of a shard.
@@ -149,7 +149,7 @@ def shard(df: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     size = (F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.octet_length(body)) + overhead).cast("long")
     h, ident = F.xxhash64(body), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOW))
-    keys = checkpointed(df.select(h.alias("h"), ident.alias("id"), size.alias("size")))
+    keys = written(df.select(h.alias("h"), ident.alias("id"), size.alias("size")))
     cut = splitters(keys, shards, tolerance)
     # finer boundaries, for cells of bounded size: evenly by hash, and by id within a hash that is still too large
     rows = keys.count()

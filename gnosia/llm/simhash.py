@@ -12,7 +12,8 @@ of the third segment; what is still larger goes through keys with two bits maske
 most can share one: exact, and linear in the number of fingerprints.
 
 Results: null and blank texts have fingerprint zero, which links like any other; a null doc_id is never a
-representative unless its whole component has none.
+representative unless its whole component has none; rows that repeat a doc_id are told apart by their texts; an empty
+table gives an empty one. representatives() keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gnosia.llm.common import checkpointed, map_texts
+from gnosia.llm.common import map_texts, written
 from gnosia.llm.graph import components
 from gnosia.llm.textvec import LOWER, U, gather, joined, raw, words, xxh64
 
@@ -194,7 +195,7 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     keyed = distinct.select("fp").mapInArrow(_keys, "key long, fp long")
     edges = []
     for refine in (_subkeys, None):
-        count = checkpointed(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"))
+        count = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"))
         edges.append(count.where(F.col("n") == 2).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= BITS).select("u", "v"))
         few = keyed.join(count.where(F.col("n").between(3, bucket)).select("key"), "key", "left_semi").select("key", "fp")
         edges.append(few.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets, "u long, v long"))
@@ -203,7 +204,7 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
             break
         many = keyed.join(large, "key", "left_semi").select("key", "fp")
         if refine is not None:
-            keyed = checkpointed(many.mapInArrow(refine, "key long, fp long"))
+            keyed = written(many.mapInArrow(refine, "key long, fp long"))
             continue
         few = many.select("fp").distinct().mapInArrow(_masked, "mask int, rest long, fp long").groupBy("mask", "rest").agg(F.collect_set("fp").alias("all"))
         edges.append(few.where(F.size("all") > 1).select(F.explode("all").alias("u"), F.array_min("all").alias("v")))
@@ -213,22 +214,27 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return out
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: component_id is the least doc_id reachable over links.
+def grouped(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, text_hash, fp, component, component_id) for every row; component is a number of the linked texts alone.
 
     Documents with one fingerprint meet only as a count and a least doc_id; a hot fingerprint is summed before the
     shuffle, and the final join can be split.
     """
-    src = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    docs = checkpointed(fingerprints(src).select("doc_id", "fp"))
-    groups = checkpointed(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    parts = checkpointed(components(links(groups, bucket)))
+    src = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    docs = written(fingerprints(src).select("doc_id", "text_hash", "fp"))
+    groups = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    parts = written(components(links(groups, bucket)))
     linked = parts.join(groups, parts.node == groups.fp).select("fp", "root", "least")
     top = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    merged = linked.join(top, "root").select("fp", "component_id")
-    copies = groups.where("n > 1").join(merged, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    merged = linked.join(top, "root").select("fp", "root", "component_id")
+    copies = groups.where("n > 1").join(merged, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     out = docs.join(merged.union(copies), "fp", "left")
-    return out.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "text_hash", "fp", F.coalesce("root", "fp").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, fp, component_id) for every row: component_id is the least doc_id reachable over links."""
+    return grouped(df, doc_id, text, bucket).select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: str) -> F.Column:
@@ -236,18 +242,25 @@ def hexadecimal(fp: str) -> F.Column:
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
-    """df with one document of each component: the one with the least doc_id, all its columns as they were.
+def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", find: Callable[..., DataFrame] = grouped) -> DataFrame:
+    """df with one row of each component, all its columns as they were: the least doc_id, nulls last, then the least hash of the text.
 
-    Rows without a doc_id stay. Of rows that repeat a doc_id one stays. find: gives (doc_id, component_id) for every row.
+    A row is told from others by its doc_id and its text: of rows that share a doc_id but no component each component
+    keeps its own. Of rows alike in both the one with the least hash of all columns stays. find: gives (doc_id,
+    text_hash, component) for every row, text_hash being XXH64 of the text.
     """
-    found = checkpointed(find(df, doc_id, text))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    key = F.col(f"`{doc_id}`")
-    kept = df.join(gone.withColumnRenamed("doc_id", "__gone"), key == F.col("__gone"), "left_anti")
+    found = written(find(df, doc_id, text).select("doc_id", "text_hash", "component"))
+    own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    first = found.groupBy("component").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", "first")
+    many = written(found.join(first, "component").select("doc_id", "text_hash", (own == F.col("first")).alias("stays")).groupBy("doc_id", "text_hash", "stays").agg(F.count(F.lit(1)).alias("n")))
+    marked = df.withColumn("__text", F.xxhash64(F.col(f"`{text}`").cast("string")))
+    same = [F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")), F.col("__text") == F.col("__hash")]
+    gone = many.where("not stays").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    kept = marked.join(gone, same, "left_anti")
+    again = many.where("stays and n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     if again.isEmpty():
-        return kept
-    again = checkpointed(again.withColumnRenamed("doc_id", "__again"))
-    once = kept.join(again, key == F.col("__again"), "left_semi").dropDuplicates([doc_id])
-    return kept.join(again, key == F.col("__again"), "left_anti").unionByName(once)
+        return kept.drop("__text")
+    row = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in df.columns])
+    ours = kept.join(again, same, "left_semi").withColumn("__row", row)
+    once = ours.groupBy(F.col(f"`{doc_id}`").alias("__id"), F.col("__text").alias("__hash")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), "__row").alias("__first"))
+    return kept.join(again, same, "left_anti").drop("__text").unionByName(once.select("__first.*"))

@@ -101,10 +101,39 @@ def test_near_duplicates(spark):
     assert kept == sorted({*want})
     twice = df.union(spark.createDataFrame([(100, "other words of its own"), (None, "x y z"), (None, None)], "doc_id long, text string"))
     assert simhash.near_duplicates(twice).count() == len(rows) + 3
-    assert [r.doc_id for r in simhash.representatives(twice).collect()].count(100) <= 1
+    kept_twice = collections.Counter((r.doc_id, r.text) for r in simhash.representatives(twice).collect())
+    assert kept_twice == collections.Counter(brute_representatives([*rows, (100, "other words of its own"), (None, "x y z"), (None, None)]))
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.representatives(df.limit(0)).count() == 0
 
 
+def brute_representatives(rows):
+    """Of each component the row with the least doc_id, nulls last (no ties within a component here)."""
+    fps = [brute_simhash(t) for _, t in rows]
+    group = brute_components(fps, list(range(len(rows))))
+    best = {}
+    for k, (i, t) in enumerate(rows):
+        best[group[k]] = min(best.get(group[k], (True, 0, None)), (i is None, i or 0, t), key=lambda x: x[:2]) if group[k] in best else (i is None, i or 0, t)
+    return [(None if last else i, t) for last, i, t in best.values()]
+
+
+@pytest.mark.parametrize("by", ["grouped", "likeness"])
+def test_representatives_lose_no_text(spark, by):
+    """Rows that repeat a doc_id, have none, or are alike in all columns; columns named like the operator's own."""
+    from gnosia.llm import likeness
+
+    rng = random.Random(13)
+    a, b, c = (prose(rng, 200, [f"w{i}" for i in range(900)]) for _ in range(3))
+    rows = [(5, a), (100, a), (100, b), (200, b + " q"), (200, c), (None, a), (None, "own text without an id"), (None, "own text without an id"), (300, "twice"), (300, "twice"), (301, None), (302, "")]
+    df = spark.createDataFrame([(*r, k % 2, "x", "y", "z") for k, r in enumerate(rows)], "doc_id long, text string, component int, text_hash string, `first` string, n string")
+    find = simhash.grouped if by == "grouped" else likeness.grouped
+    got = simhash.representatives(df, find=find)
+    assert got.columns == df.columns
+    want = brute_representatives(rows) if by == "grouped" else [(5, a), (100, b), (200, c), (None, "own text without an id"), (300, "twice"), (301, None)]
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter(want)
+    assert got.where("doc_id = 300").count() == 1
+    assert simhash.representatives(df.limit(0), find=find).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (200, 100), (5, 5), (300, 300), (61, 60)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
