@@ -6,7 +6,8 @@ border comes before the merges that build the two tokens. That check is one vect
 only words with an incompatible pair are merged exactly.
 
 Results: a null text is encoded as the empty text (no tokens, decoded text empty); special tokens written in a text
-become their ids, as in the tokenizers library; whole texts of any length; equal texts have equal ids.
+become their ids, as in the tokenizers library; whole texts of any length; equal texts have equal ids; repeated rows
+stay; an empty table gives an empty one; columns named like an output, whatever their case, are replaced by it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import hashlib
 import heapq
 import json
 import re
+import unicodedata
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -35,9 +37,11 @@ _COARSE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _FINE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Beyond these blocks, versions of Unicode differ on what is a letter; the library itself splits such chunks.
 _ODD = re.compile("[^\\u0000-\\u0557\\u1e00-\\u1eff\\u2010-\\u2070\\u20a0-\\u20af\\u3040-\\u30ff\\u4e00-\\u9fa5\\uac00-\\ud7a3]")
-#: Distinct chunks and pre-tokens remembered by a worker; beyond it, all are forgotten.
-CACHE = 120_000
-#: Longer pre-tokens are merged exactly at once.
+#: Letters and digits up to extended Latin, where all versions of Unicode agree.
+_LETTER, _NUMBER = ("".join(c for c in map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x250)]) if unicodedata.category(c)[0] == kind) for kind in "LN")
+#: Distinct pre-tokens remembered by a worker (some 200 bytes each); beyond it, all are forgotten.
+CACHE = 400_000
+#: Longer pre-tokens are not proposed greedily but merged exactly at once: the same ids.
 LONG = 256
 #: The rank of a pair that has no merge.
 NONE = 1 << 40
@@ -90,6 +94,9 @@ class Bpe:
 
     #: Byte that ends each word (none here); UTF-8 never has 0xFF.
     END = b""
+    #: Texts of these characters are split by _SPLIT, the same pattern written out; others chunk by chunk.
+    _PLAIN = re.compile("[\0-\x7f\u00a1-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20af]*")
+    _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\t-\r {_LETTER}{_NUMBER}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
     def check(self, spec: dict) -> None:
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
@@ -145,7 +152,7 @@ class Bpe:
 
     def __getstate__(self) -> dict:
         """What a broadcast carries: arrays and the source, without what was remembered."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("chunks", "chunk_ids", "pres", "pre_ids")} | {"_library": None, "_merges": None}
+        return {k: v for k, v in self.__dict__.items() if k not in ("pres", "pre_ids")} | {"_library": None, "_merges": None}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -209,7 +216,6 @@ class Bpe:
         return out
 
     def forget(self) -> None:
-        self.chunks, self.chunk_ids = _Memo(), _Rows()
         self.pres, self.pre_ids = _Memo(), _Rows()
 
     # ---- pre-tokens
@@ -379,44 +385,55 @@ class Bpe:
             out[ends[i] - len(x) : ends[i]] = x
         return out, out_counts
 
+    def _plain(self, text: str) -> bool:
+        return self._PLAIN.fullmatch(text) is not None and not (self.special and "<|" in text and self.split.search(text))
+
+    def parts(self, text: str) -> list[str]:
+        """The pre-tokens of a text; special tokens are such."""
+        if self._plain(text):
+            return self._SPLIT.findall(text)
+        out: list[str] = []
+        for c in self.coarse(text):
+            if c in self.special:
+                out.append(c)
+            else:
+                out += self._SPLIT.findall(c) if self._PLAIN.fullmatch(c) else self.fine(c)
+        return out
+
+    def _given(self, part: str) -> list[int] | None:
+        """Ids of a pre-token that is not merged."""
+        return [self.special[part]] if part in self.special else None
+
     def _learn(self) -> None:
-        """Encode the chunks that were seen for the first time."""
-        if not self.chunks.new:
+        """Encode the pre-tokens that were seen for the first time."""
+        new = self.pres.new
+        if not new:
             return
-        special = self.special
-        pieces = [[c] if c in special else self.fine(c) for c in self.chunks.new]
-        self.chunks.new = []
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        numbers = np.fromiter((self.pres[p] for x in pieces for p in x), np.int64, int(counts.sum()))
-        if new := self.pres.new:
-            self.pres.new = []
-            ids, lens = self.encode_words([w for w in new if w not in special])
-            if len(lens) < len(new):  # a special token stands for itself
-                mark = np.fromiter((w in special for w in new), bool, len(new))
-                full = np.ones(len(new), np.int64)
-                full[~mark] = lens
-                out = np.empty(int(full.sum()), np.int64)
-                out[np.repeat(~mark, full)] = ids
-                out[np.repeat(mark, full)] = [special[w] for w in new if w in special]
-                ids, lens = out, full
-            self.pre_ids.add(ids, lens)
-        ids, lens = self.pre_ids.take(numbers)
-        ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(counts)])]
-        self.chunk_ids.add(ids, np.diff(ends))
-
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.pres.new = []
+        given = [self._given(p) for p in new]
+        own = np.fromiter((g is None for g in given), bool, len(new))
+        ids, lens = self.encode_words(new if own.all() else [p for p, g in zip(new, given, strict=True) if g is None])
+        if not own.all():
+            sizes = np.empty(len(new), np.int64)
+            sizes[own], sizes[~own] = lens, [len(g) for g in given if g is not None]
+            out = np.empty(int(sizes.sum()), np.int64)
+            out[np.repeat(own, sizes)] = ids
+            out[np.repeat(~own, sizes)] = [t for g in given if g is not None for t in g]
+            ids, lens = out, sizes
+        self.pre_ids.add(ids, lens)
+
+    def encode(self, texts: pa.Array | Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts as uint32, where each text's ids begin and the last's end)."""
-        if len(self.chunks) > CACHE or len(self.pres) > CACHE:
+        if len(self.pres) > CACHE:
             self.forget()
-        number, parts, counts = self.chunks.__getitem__, [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            got = self.coarse(text)
+        number, parts, counts = self.pres.__getitem__, [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts.to_pylist() if isinstance(texts, pa.Array) else texts):
+            got = self.parts(text)
             counts[i] = len(got)
             parts.append(np.fromiter(map(number, got), np.int64, len(got)))
         self._learn()
-        ids, lens = self.chunk_ids.take(np.concatenate(parts) if parts else np.zeros(0, np.int64))
-        ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, ends
+        ids, lens = self.pre_ids.take(np.concatenate(parts))
+        return ids, np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(counts)])]
 
     def decode(self, ids: np.ndarray) -> str:
         table = self.bytes
@@ -426,15 +443,18 @@ class Bpe:
 class WordBpe(Bpe):
     """BPE over lower-cased words with a mark at their end; white space is dropped.
 
-    The normalizer and the split work within runs of non-space, so each distinct run is encoded once. Runs with
-    characters beyond extended Latin, where versions of Unicode and context matter, go through the library itself.
+    The normalizer and the split work within runs of non-space. Runs with characters beyond extended Latin, where
+    versions of Unicode and context matter, go through the library itself.
     """
 
     END = b"\xff"
     _RUN = re.compile("[^\t-\r ]+")
     #: The published pattern of this vocabulary (a fixed value).
     _PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    _PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]*")
+    _PLAIN = re.compile("[\t-\r -~\u00a1-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20af]*")
+    _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\t-\r {_LETTER}{_NUMBER}]+")
+    #: Stands before a run that goes through the library.
+    _LIBRARY = "\n"
 
     def check(self, spec: dict) -> None:
         steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
@@ -443,29 +463,16 @@ class WordBpe(Bpe):
         if not ok or pre[0]["pattern"].get("Regex") != self._PART.pattern:
             raise ValueError("only word BPE with this normalizer and split is supported")
 
-    def coarse(self, text: str) -> list[str]:
-        return self._RUN.findall(text)
+    def parts(self, text: str) -> list[str]:
+        if "<|" not in text and self._PLAIN.fullmatch(text):
+            return self._SPLIT.findall(text.lower())
+        out: list[str] = []
+        for run in self._RUN.findall(text):
+            out += self._SPLIT.findall(run.lower()) if "<|" not in run and self._PLAIN.fullmatch(run) else [self._LIBRARY + run]
+        return out
 
-    def _learn(self) -> None:
-        new = self.chunks.new
-        own = [self._PLAIN.fullmatch(c) is not None and "<|" not in c for c in new]
-        pieces = [self._PART.findall(c.lower()) for c, o in zip(new, own, strict=True) if o]
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        numbers = np.fromiter((self.pres[p] for x in pieces for p in x), np.int64, int(counts.sum()))
-        if self.pres.new:
-            self.pre_ids.add(*self.encode_words(self.pres.new))
-            self.pres.new = []
-        ids, lens = self.pre_ids.take(numbers)
-        ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(counts)])]
-        mine, sizes = np.array(own, bool), np.zeros(len(new), np.int64)
-        sizes[mine] = np.diff(ends)
-        others = [self.library.encode(c, add_special_tokens=False).ids for c, o in zip(new, own, strict=True) if not o]
-        sizes[~mine] = [len(x) for x in others]
-        out = np.empty(int(sizes.sum()), np.int64)
-        out[np.repeat(mine, sizes)] = ids
-        out[np.repeat(~mine, sizes)] = [t for x in others for t in x]
-        self.chunk_ids.add(out, sizes)
-        self.chunks.new = []
+    def _given(self, part: str) -> list[int] | None:
+        return self.library.encode(part[1:], add_special_tokens=False).ids if part[0] == self._LIBRARY else None
 
 
 @lru_cache(2)
@@ -498,7 +505,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", outputs: Sequence[
         bpe = shared.value
 
         def fn(texts: pa.Array) -> dict:
-            ids, ends = bpe.encode(texts.to_pylist())
+            ids, ends = bpe.encode(texts)
             ids = ids.astype("<u4", copy=False)
             mem, ends4 = ids.view(np.uint8).data, (4 * ends).tolist()
             out: dict = {"n_tokens": pa.array(np.diff(ends))}
@@ -513,7 +520,6 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", outputs: Sequence[
                 out["decoded_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for x in back]
             return out
 
-        fn.close = bpe.forget
         return fn
 
     return map_texts(df, [T.StructField(x, OUTPUTS[x]) for x in names], make, text)

@@ -48,7 +48,7 @@ def pieces(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         bpe = shared.value
 
         def fn(texts: pa.Array) -> dict:
-            ids, ends = bpe.encode(texts.to_pylist())
+            ids, ends = bpe.encode(texts)
             n, crcs, parts = [], [], []
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 mem = np.append(ids[a:b], end_token).astype("<u4").tobytes()
@@ -59,7 +59,6 @@ def pieces(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             out = {"__n": n, "__crcs": crcs}
             return out | {"__ids": parts} if with_ids else out
 
-        fn.close = bpe.forget
         return fn
 
     fields = [T.StructField("__n", T.LongType()), T.StructField("__crcs", T.ArrayType(T.LongType()))] + [T.StructField("__ids", T.ArrayType(T.BinaryType()))] * with_ids
