@@ -6,8 +6,12 @@ own first, and the intervals shrink until every splitter is within tolerance. A
 that meets the tolerance; a group of copies is parted (by doc_id) only where it is larger than that. Then the rows are
 exchanged once, into cells finer than shards, whose exact row counts give each row its slot.
 
-Results: a null text has size `overhead` and sorts as the empty text; rows that agree in text and doc_id stay together;
-null doc_ids come first in their group; with more shards than rows some stay empty; an empty table gives an empty table.
+Rows that agree in text and doc_id have no order; where they fill more than a cell they are dealt to salted parts, whose
+counts give each row its place, so that a splitter may fall among them too.
+
+Results: a null text has size `overhead` and sorts as the empty text; null doc_ids come first in their group; with more
+shards than rows some stay empty; an empty table gives an empty table; columns named like a result, whatever their case,
+are replaced by it.
 """
 
 from __future__ import annotations
@@ -141,6 +145,18 @@ def _cell_column(bounds: list[tuple[int, int]]) -> Column:
     return cell(F.col("__h"), F.col("__id"))
 
 
+def _dealt(rows: DataFrame, most: int, count: int) -> DataFrame:
+    """Rows of crowded cells with their number inside the cell (__own, from 1): each salt takes the numbers after those of the salts before it."""
+    salts = max(1, -(-count // most))
+    held = written(rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))))
+    part = held.groupBy("__cell", "__salt").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__cell").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = part.select("__cell", "__salt", before.alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__cell", "__salt").orderBy("__h"))
+    out = held.withColumn("__own", own).join(start, ["__cell", "__salt"])
+    return out.withColumn("__own", (F.col("__own") + F.col("__before")).cast("long")).drop("__before", "__salt")
+
+
 def shard(df: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", overhead: int = OVERHEAD, tolerance: float = TOLERANCE) -> DataFrame:
     """Add size, text_crc32, law, shard and slot to every row of df, all whose columns stay.
 
@@ -156,33 +172,50 @@ def shard(df: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str
     most = min(CELL_ROWS, max(LEAST_ROWS, rows // (4 * shards)))
     fine = max(4 * shards, -(-2 * rows // CELL_ROWS))
     bounds = sorted({*cut, *((LOW + (1 << 64) * k // fine, LOW) for k in range(1, fine))})
-    _, below = _counted(keys, bounds)
+    weight, below = _counted(keys, bounds)
     low, high = keys.agg(F.min("id"), F.max("id")).first()
     while rows:
-        size_of = np.diff([0, *below])
         ends = [(LOW, LOW), *bounds, (TOP, TOP)]
-        more = [k for i, n in enumerate(size_of.tolist()) if n > most for k in _between(ends[i], ends[i + 1], (low, high), min(63, 2 * n // most + 1))]
+        more = [k for i, n in enumerate(np.diff([0, *below]).tolist()) if n > most for k in _between(ends[i], ends[i + 1], (low, high), min(63, 2 * n // most + 1))]
         more = sorted({*more} - {*bounds})
         if not more:
             break
         bounds = sorted({*bounds, *more})
-        _, below = _counted(keys, bounds)
-    first = [0, *below[:-1]] if rows else [0] * (len(bounds) + 1)
-    of, start = [], []
-    at, origin = 0, 0
-    for i in range(len(bounds) + 1):
-        if i:
-            while at < len(cut) and cut[at] <= bounds[i - 1]:
-                at += 1
-                origin = first[i]
-        of.append(at)
-        start.append(first[i] - origin)
+        weight, below = _counted(keys, bounds)
+    # rows and bytes before each cell; what is still crowded holds rows that agree in text and doc_id
+    first, ahead = ([0, *below[:-1]], [0, *weight[:-1]]) if rows else ([0] * (len(bounds) + 1),) * 2
+    count = np.diff([*first, rows])
+    crowded = [i for i, n in enumerate(count.tolist()) if n > most]
+    starts = [first[bounds.index(c) + 1] for c in cut]
+    total = weight[-1] if rows else 0
+    for k in range(len(starts)):
+        mark = total * (k + 1) // shards
+        i = int(np.searchsorted(ahead, mark, "right")) - 1
+        if i in crowded and abs(ahead[bounds.index(cut[k]) + 1] - mark) > tolerance * total / shards:
+            each = (weight[i] - ahead[i]) / count[i]
+            starts[k] = first[i] + round((mark - ahead[i]) / each)
+    starts = np.array(sorted(starts), np.int64)
     spark = df.sparkSession
-    table = spark.createDataFrame(pd.DataFrame({"__c": range(len(of)), "shard": np.array(of, np.int32), "__start": np.array(start, np.int64)}))
+    place = np.searchsorted(starts, first, "right")
+    origin = np.concatenate([[0], starts])
     base = without(df, ["size", "text_crc32", "law", "shard", "slot"])
-    src = base.withColumns({"size": size, "text_crc32": F.crc32(body.cast("binary")), "law": F.lit("bytes"), "__h": h, "__id": ident}).withColumn("__cell", _cell_column(bounds))
+    src = base.select(F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in base.columns]).alias("__row"), size.alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), h.alias("__h"), ident.alias("__id"))
+    src = src.withColumn("__cell", _cell_column(bounds))
+    columns = [*[F.col("__row").getField(c).alias(c) for c in base.columns], "size", "text_crc32", "law"]
+    usual = src.where(~F.col("__cell").isin(crowded)) if crowded else src
     own = F.row_number().over(Window.partitionBy("__cell").orderBy("__h", "__id", "text_crc32", "size"))
+    table = spark.createDataFrame(pd.DataFrame({"__c": range(len(first)), "shard": place.astype(np.int32), "__start": np.array(first, np.int64) - origin[place]}))
     # one row for each cell: bounded by rows / CELL_ROWS
-    near = F.broadcast(table) if len(of) <= 100_000 else table
-    out = src.withColumn("__own", own).join(near, F.col("__cell") == F.col("__c"))
-    return out.select(*[F.col(f"`{c}`") for c in base.columns], "size", "text_crc32", "law", "shard", (F.col("__start") + F.col("__own") - 1).alias("slot"))
+    near = F.broadcast(table) if len(first) <= 100_000 else table
+    out = usual.withColumn("__own", own).join(near, F.col("__cell") == F.col("__c")).select(*columns, "shard", (F.col("__start") + F.col("__own") - 1).alias("slot"))
+    if not crowded:
+        return out
+    begin = dict(zip(crowded, (int(first[i]) for i in crowded), strict=True))
+    at = F.try_element_at(F.create_map(*[F.lit(x) for kv in begin.items() for x in kv]), F.col("__cell").cast("int")) + F.col("__own") - 1
+
+    @F.pandas_udf("int")
+    def shard_of(g: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(starts, g.to_numpy(), "right").astype(np.int32))
+
+    many = _dealt(src.where(F.col("__cell").isin(crowded)), most, int(max(count[i] for i in crowded))).withColumn("__at", at.cast("long")).withColumn("shard", shard_of("__at"))
+    return out.unionByName(many.select(*columns, "shard", (F.col("__at") - F.element_at(F.array(*[F.lit(int(x)) for x in origin]), F.col("shard") + 1)).alias("slot")))

@@ -285,6 +285,78 @@ def test_language(spark):
     assert {r.language for r in langid.identify(df, empty, declared="said", host="host").collect()} == {"und"}
 
 
+def brute_posterior(docs, rows):
+    """The formula of the module's docstring, without arrays: {row number: (language, posterior, text_language)}."""
+    grams = lambda t: [(int.from_bytes(b[i : i + 3], "little") * 2654435761 % 2**32) >> (32 - langid.BITS) for b in [(t or "").encode()] for i in range(len(b) - 2)]
+    count = collections.defaultdict(collections.Counter)
+    for t, lang in docs:
+        if lang is not None and lang != "und":
+            count[lang].update(grams(t))
+    langs, size = sorted(count), 1 << langid.BITS
+    every = collections.Counter()
+    for c in count.values():
+        every.update(c)
+    n, back = every.total(), 0.5 * size
+    milli = lambda p: round(1000 * np.log(p))
+    p_all = lambda b: (every[b] + 0.5) / (n + 0.5 * size)
+
+    def weight(lang, b):
+        c = count[lang]
+        if len(c) >= langid.DENSE:
+            return milli((c[b] + 0.5) / (c.total() + 0.5 * size))
+        if b in c:
+            return milli((c[b] + back * p_all(b)) / (c.total() + back))
+        return milli(back / (c.total() + back)) + milli(p_all(b))
+
+    def text(t):
+        g = collections.Counter(grams(t))
+        return [sum(k * weight(x, b) for b, k in g.items()) / 3000 for x in langs] + [g.total() * round(-1000 * np.log(size)) / 3000]
+
+    ev = [text(t) for _, t, *_ in rows]
+    votes = [int(np.argmax(e)) if t else len(langs) for (_, t, *_), e in zip(rows, ev)]
+    own = [v if v < len(langs) else None for v in votes]
+    level = lambda keep: [sum(v == k and keep(r) for v, r in zip(own, rows)) for k in range(len(langs))]
+    dom = lambda h: None if h is None else ".".join(h.split(".")[-2:])
+    out = {}
+    for i, (_, t, said, ends, host) in enumerate(rows):
+        prior = [(1 - langid.UNKNOWN) / len(langs)] * len(langs)
+        if host is not None:
+            p = [1 / len(langs)] * len(langs)
+            for keep in (lambda r: r[4] is not None, lambda r: r[4] is not None and dom(r[4]) == dom(host), lambda r: r[4] == host):
+                c = level(keep)
+                if own[i] is not None:
+                    c[own[i]] -= 1
+                p = [(a + langid.STRENGTH * b) / (sum(c) + langid.STRENGTH) for a, b in zip(c, p)]
+            prior = [x * (1 - langid.UNKNOWN) for x in p]
+        post = [e + np.log(q) for e, q in zip(ev[i], [*prior, langid.UNKNOWN])]
+        for code, right in ((said, langid.MARKUP), (ends, langid.SUFFIX)):
+            main = re.split("[-_]", (code or "").strip().lower())[0]
+            main = main if main in langs else langid.THREE.get(main)
+            if main in langs:
+                post = [x + np.log(right if k == langs.index(main) else (1 - right) / max(1, len(langs) - 1) if k < len(langs) else 1 / len(langs)) for k, x in enumerate(post)]
+        best = int(np.argmax(post))
+        out[i] = ([*langs, "und"][best], 1 / sum(np.exp(x - post[best]) for x in post), [*langs, "und"][int(np.argmax(ev[i]))] if t else None)
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    rng = random.Random(21)
+    docs = [(prose(rng, 12), "en") for _ in range(9)] + [(prose(rng, 12, DE), "de") for _ in range(6)] + [("tere õhtust kallis sõber", "est"), ("buenos dias amigo", "es"), (None, "es"), ("q", None), ("zz top", "und")]
+    rows = [(i, *r) for i, r in enumerate([
+        (prose(rng, 5), "de", None, "h1.a.com"), (prose(rng, 3, DE), "en-GB", "de", "h1.a.com"), ("tere", "est", None, "h2.a.com"), ("dias", "EST_x", "es", "h2.a.com"), (None, "ger", None, "h2.a.com"),
+        ("", None, None, "x.org"), ("the", "xx", "yy", None), (prose(rng, 4, DE), None, None, "h1.a.com"), (prose(rng, 4, DE), None, None, "h1.a.com"), ("щъ", None, None, "com"), ("ab", None, "es", ""),
+    ])]
+    names = ["votes", "__of", "row", "body", "Language", "POSTERIOR", "n"]
+    df = spark.createDataFrame([(*r, *range(7)) for r in rows], "id long, text string, said string, ends string, host string, " + ", ".join(f"`{n}` int" for n in names))
+    model = langid.train(spark.createDataFrame(docs, "text string, lang string"))
+    got = langid.identify(df, model, declared="said", suffix="ends", host="host")
+    assert got.columns == ["id", "text", "said", "ends", "host", "votes", "__of", "row", "body", "n", "language", "posterior", "text_language"]
+    want = brute_posterior(docs, rows)
+    for r in got.collect():
+        assert (r.language, r.text_language) == (want[r.id][0], want[r.id][2]) and r.posterior == pytest.approx(want[r.id][1], rel=1e-6), r.id
+        assert (r.votes, r["__of"], r.row, r.body, r.n) == (0, 1, 2, 3, 6)
+
+
 def test_rare_language(spark):
     """One document of 2,001 in its language: still found, by its text and by its declaration, and not given to other texts."""
     rng = random.Random(12)
@@ -370,6 +442,19 @@ def test_sharding(spark):
     assert len(few) == 3 and few.shard.between(0, 7).all()
 
 
+@pytest.mark.parametrize("ids", [[7], [None], [None, 7, 8]])
+def test_sharding_of_equal_rows(spark, ids):
+    """One row repeated, or a few texts without ids: parted within a hundredth, slots without gaps."""
+    rows = [(ids[k % len(ids)], ["some text", "another text of more length", None][k % 3 if ids != [7] else 0], k) for k in range(9000)] + [(k, f"text {k}", k) for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __cell long")
+    got = sharding.shard(df, shards=8).toPandas()
+    assert sorted(got["__cell"].tolist()) == sorted(r[2] for r in rows)
+    total, by = got["size"].sum(), got.groupby("shard")["size"].sum()
+    assert len(by) == 8 and (by - total / 8).abs().max() <= 0.02 * total / 8 + 45
+    for _, slots in got.groupby("shard").slot:
+        assert sorted(slots) == list(range(len(slots)))
+
+
 # ---- 10
 
 
