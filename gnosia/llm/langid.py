@@ -9,12 +9,15 @@ votes of a host are pulled towards those of its domain, these towards all; a row
 class, `und`, has the uniform multinomial: text unlike every language falls to it.
 
 Results: null or empty texts have no text evidence, so that the other evidence decides; unknown declarations, suffixes
-and hosts are neutral; ties go to the first language in alphabetical order.
+and hosts are neutral; a declaration counts up to its first `-` or `_`; ties go to the first language in alphabetical
+order; repeated rows stay, each with its own vote left out; an empty table gives an empty one; columns named like a
+result, whatever their case, are replaced by it, all others stay.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gnosia.llm.common import as_text, cut, map_texts, release, written
 from gnosia.llm.quality import grams
@@ -40,9 +44,10 @@ MARKUP, SUFFIX = 0.9, 0.8
 UNKNOWN = 0.001
 #: Least posterior of an accepted document.
 CONFIDENT = 0.5
-#: Hosts up to which their priors are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_HOSTS = 20_000
-#: Languages of country suffixes (fixed values).
+#: Hosts, and bytes of their votes, up to which priors are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_HOSTS, BROADCAST_BYTES = 20_000, 16 << 20
+#: Two-letter codes of three-letter ones, languages of country suffixes (fixed values).
+THREE = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl", "pol": "pl"}
 COUNTRY = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "nl": "nl", "pl": "pl"}
 
 
@@ -183,28 +188,38 @@ def identify(df: DataFrame, model: Model, text: str = "text", declared: str | No
 
         return fn
 
-    rest = [c for c in (df.columns if keep is None else keep) if c not in ("language", "posterior", "text_language")]
+    rest = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("language", "posterior", "text_language")]
     col = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")
-    src = df.select(*[F.col(f"`{c}`") for c in rest], col(text).alias("__body"), col(declared).alias("__declared"), col(suffix).alias("__suffix"), col(host).alias("__host"))
+    row = F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in rest]).alias("row")
+    src = df.select(row, col(text).alias("body"), col(declared).alias("declared"), col(suffix).alias("suffix"), col(host).alias("host"))
     if host and width:
-        votes = map_texts(src.select("__body", F.col("__host").alias("host")).where("host is not null"), [T.StructField("vote", T.IntegerType())], vote, "__body", ["host"])
+        votes = map_texts(src.select("body", "host").where("host is not null"), [T.StructField("vote", T.IntegerType())], vote, "body", ["host"])
         priors, all_ = _priors(votes, width)
-        priors = priors.withColumnRenamed("host", "__of")
-        few = priors.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-        src = src.join(F.broadcast(priors) if few else priors, F.col("__host") == F.col("__of"), "left").drop("__of")
+        priors = priors.withColumnRenamed("host", "of")
+        src = src.join(F.broadcast(priors) if _small(priors) else priors, F.col("host") == F.col("of"), "left").drop("of")
     else:
         src, all_ = src.withColumn("votes", F.lit(None).cast("array<array<long>>")), np.zeros(width)
 
     fields = [T.StructField("language", T.StringType()), T.StructField("posterior", T.DoubleType()), T.StructField("text_language", T.StringType())]
-    extra = ["__declared", "__suffix", "votes"]
-    packed = src.select(*[F.col(f"`{c}`") for c in rest], F.struct("__body", *extra).alias("__in"))
-    return _score(packed, rest, fields, shared, width, all_)
+    packed = src.select(*[F.col("row").getField(c).alias(c) for c in rest], F.struct("body", "declared", "suffix", "votes"))
+    schema = T.StructType([*packed.schema.fields[:-1], *fields])
+    return _score(packed, schema, len(rest), shared, width, all_)
 
 
-def _score(packed: DataFrame, rest: list[str], fields: list[T.StructField], shared, width: int, all_: np.ndarray) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
+def _small(priors: DataFrame) -> bool:
+    """Whether the priors may be broadcast: few hosts, and few bytes of votes (16 for each language seen at a host)."""
+    n, size = priors.limit(BROADCAST_HOSTS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(F.flatten("votes")) * 8), F.lit(0))).first()
+    return n <= BROADCAST_HOSTS and size <= BROADCAST_BYTES
 
-    schema = T.StructType([*packed.select(*[F.col(f"`{c}`") for c in rest]).schema.fields, *fields])
+
+def primary(code: str | None, number: dict[str, int]) -> int:
+    """Number of the language that a code names, -1 if it is unknown."""
+    main = re.split("[-_]", code.strip().lower(), maxsplit=1)[0] if code else ""
+    return number.get(main, number.get(THREE.get(main, ""), -1))
+
+
+def _score(packed: DataFrame, schema: T.StructType, rest: int, shared, width: int, all_: np.ndarray) -> DataFrame:
+    """packed: `rest` columns that stay, then the evidence as one struct."""
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +227,7 @@ def _score(packed: DataFrame, rest: list[str], fields: list[T.StructField], shar
         names = [*model.languages, "und"]
         number = {x: i for i, x in enumerate(model.languages)}
         for batch in batches:
-            given = batch.column(len(rest))
+            given = batch.column(rest)
             body, said, ends, votes = (given.field(i) for i in range(4))
             texts = as_text(body)
             for at, n in cut(texts):
@@ -239,14 +254,14 @@ def _score(packed: DataFrame, rest: list[str], fields: list[T.StructField], shar
                 post += prior
                 for column, right in ((said, MARKUP), (ends, SUFFIX)):
                     for i, x in enumerate(column.slice(at, n).to_pylist()):
-                        j = number.get(x.strip().lower()[:2] if x else "", -1)
+                        j = primary(x, number)
                         if j >= 0:
                             like = np.full(width + 1, math.log((1 - right) / max(1, width - 1)))
                             like[j], like[width] = math.log(right), math.log(1 / width)
                             post[i] += like
                 best = post.argmax(axis=1)
                 sure = 1 / np.exp(post - post.max(axis=1, keepdims=True)).sum(axis=1)
-                cols = [batch.column(i).slice(at, n).cast(arrow.field(i).type) for i in range(len(rest))]
+                cols = [batch.column(i).slice(at, n).cast(arrow.field(i).type) for i in range(rest)]
                 cols += [pa.array([names[j] for j in best], pa.string()), pa.array(sure), pa.array([names[j] if f else None for j, f in zip(own, filled, strict=True)], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=arrow.names)
         release()
@@ -262,4 +277,4 @@ def visible(html: Column) -> Column:
 
 def markup_language(html: Column) -> Column:
     """The lang attribute of the html element (null: none)."""
-    return F.nullif(F.lower(F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""", 1)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,8})""", 1)), F.lit(""))
