@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from gnosia.llm import bpe, fingerprint, licenses, textvec, tokencount
 from gnosia.llm.queries import vocabulary
@@ -167,6 +168,34 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_of_whole_texts(spark, tmp_path):
+    """Every known text, titled, reworded and with its copyright lines, and the notices; rows that share a doc_id or have none. The SQL agrees."""
+    import pathlib
+
+    import duckdb
+
+    rows, want = [], []
+    for k, (name, text) in enumerate(licenses.KNOWN):
+        other = text.upper().replace(" ", "  ").replace("LICENSE", "LICENCE") if "\n" in text else text.replace("Licensed under", ["Released under", "Distributed under", "This work is licensed under the terms of"][k % 3]).replace("the terms of CC", "CC").replace("SPDX", "// SPDX")
+        rows.append((7, "Copyright 2001 Some One\nAll rights reserved.\n" + other))
+        want.append(name)
+    shared = pathlib.Path("/usr/share/common-licenses")
+    for file, name in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("LGPL-2.1", "LGPL-2.1")):
+        if (shared / file).exists():
+            rows.append((None, (shared / file).read_text() + " \n\n"))
+            want.append(name)
+    rows += [(8, "words\nReleased under the MIT License.\nwords\nSPDX-License-Identifier: ISC"), (8, "words"), (None, "words"), (None, None), (None, "words")]
+    want += [None] * 5
+    df = spark.createDataFrame([(i, t, k, "x") for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int, `key` string")
+    got = {r.k: r for r in licenses.scan(df).collect()}
+    assert [got[k].license for k in range(len(rows))] == want
+    assert [got[k].notices for k in range(len(rows) - 5, len(rows))] == ["ISC,MIT", None, None, None, None] and got[0]["key"] == "x"
+    con = duckdb.connect()
+    frame = df.select(F.col("k").cast("long").alias("doc_id"), "text").toPandas()
+    con.register("documents", frame)
+    assert {*con.execute(licenses.oracle()).fetchall()} == {(k, r.canonical_sha256, r.license, r.notices) for k, r in got.items()}
+
+
 def brute(table, word):
     """Viterbi for one pre-token, without any sharing."""
     score, unknown = dict(table), min(s for _, s in table) - tokencount.UNKNOWN_PENALTY
