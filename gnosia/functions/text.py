@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,25 @@ def shortest(text: Column) -> Column:
     return F.min_by(text, F.struct(F.length(text), text))
 
 
+def sentences(edges: DataFrame, templates: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Add `sentence` to a table of binary edges. templates: (pred, template); names: (term, name), plain words where there is none."""
+    t = templates.groupBy("pred").agg(F.min("template").alias("template"))
+    out = edges.join(t, "pred", "left")
+    for i in (1, 2):
+        plain_words = concept_to_text(F.col(f"arg{i}"))
+        if names is None:
+            out = out.withColumn(f"__n{i}", plain_words)
+        else:
+            n = names.groupBy(F.col("term").alias(f"arg{i}")).agg(F.min("name").alias(f"__n{i}"))
+            out = out.join(n, f"arg{i}", "left").withColumn(f"__n{i}", F.coalesce(f"__n{i}", plain_words))
+    said = F.when(F.col("sign") < 0, negate(F.col("template"))).otherwise(F.col("template"))
+    said = F.regexp_replace(said, r"/\d+\((.+?)\)/\((.+?)\)/", "$1")
+    said = F.replace(F.replace(said, F.lit("$1"), F.col("__n1")), F.lit("$2"), F.col("__n2"))
+    bare = F.concat("__n1", F.when(F.col("sign") < 0, " does not have '").otherwise(" has '"), "pred", F.lit("' relation to "), "__n2")
+    whole = F.concat(F.when(F.col("removed"), "Removed: ").otherwise(""), F.coalesce(said, bare))
+    return out.select(*edges.columns, whole.alias("sentence"))
+
+
 #: Characters spelled out (fixed values).
 SPELLED = {"°": " degrees ", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "ß": "ss", "–": "-", "—": "-", "’": "'"}
 

@@ -66,10 +66,11 @@ def _search(adjacency, seeds: DataFrame) -> DataFrame:
     return seeds.mapInArrow(run, SCHEMA)
 
 
-def reach(edges: DataFrame, seeds: DataFrame | None = None, small: int = SMALL, doubling: bool = False, most_rounds: int = 10_000) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame | None = None, small: int = SMALL, doubling: bool = False, most_rounds: int | None = None) -> DataFrame:
     """All pairs (lo, hi, dist >= 1) joined by a path over edges (lo, hi), from the seeds (column lo) or from every term.
 
-    A pair (x, x) is in it only if x lies on a cycle. Null ends are ignored, repeated edges count once.
+    A pair (x, x) is in it only if x lies on a cycle. Null ends are ignored, repeated edges count once. With most_rounds
+    it raises where they do not suffice.
     """
     spark = edges.sparkSession
     pairs = edges.select("lo", "hi").where("lo is not null and hi is not null").distinct()
@@ -90,9 +91,9 @@ def reach(edges: DataFrame, seeds: DataFrame | None = None, small: int = SMALL,
     delta = step.join(start.select(F.col("lo").alias("a")), "a", "left_semi") if seeds is not None else step
     delta = checkpointed(delta.select(F.col("a").alias("lo"), F.col("b").alias("hi"), F.lit(1).alias("dist")))
     known = delta
-    for _ in range(most_rounds):
-        if delta.isEmpty():
-            break
+    while not delta.isEmpty():
+        if most_rounds is not None and (most_rounds := most_rounds - 1) < 0:
+            raise RuntimeError("the closure is deeper than most_rounds")
         if doubling:
             right = known.select(F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("dist").alias("more"))
             found = delta.join(right, delta.hi == right.a).select("lo", F.col("b").alias("hi"), (F.col("dist") + F.col("more")).alias("dist"))
@@ -141,7 +142,7 @@ def _extreme(members: DataFrame, closure: DataFrame, group: list[str], drop: str
     return members.join(lost, [*group, "term"], "left_anti")
 
 
-def path_justifications(edges: DataFrame, pairs: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def path_justifications(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(lo, hi, path): one shortest chain of terms from lo to hi for each pair; of equally short ones the least.
 
     Paths are carried forward from the pairs' own starts only, level by level.
@@ -150,7 +151,7 @@ def path_justifications(edges: DataFrame, pairs: DataFrame, most_rounds: int = 1
     step = checkpointed(edges.select(F.col("lo").alias("a"), F.col("hi").alias("b")).where("a is not null and b is not null").distinct())
     front = checkpointed(goal.select("lo").distinct().select("lo", F.col("lo").alias("at"), F.array("lo").alias("path")))
     known, out = front, front.join(goal, (front.lo == goal.lo) & (front["at"] == goal.hi), "left_semi").where("false")
-    for _ in range(most_rounds):
+    while True:
         grown = front.join(step, front["at"] == step.a).select("lo", F.col("b").alias("at"), F.concat("path", F.array("b")).alias("path"))
         grown = grown.groupBy("lo", "at").agg(F.min("path").alias("path"))
         front = checkpointed(grown.join(known.select("lo", "at"), ["lo", "at"], "left_anti"))
@@ -182,20 +183,27 @@ def retract(closure: DataFrame, edges: DataFrame, gone: DataFrame) -> DataFrame:
     return closure.join(touched, "lo", "left_anti").unionByName(reach(left, touched))
 
 
-def depths(parents: DataFrame, root: str = "Thing", rewrites: DataFrame | None = None, most_rounds: int = 10_000) -> DataFrame:
+def depths(parents: DataFrame, root: str = "Thing", rewrites: DataFrame | None = None) -> DataFrame:
     """(term, depth): root 0, no parents 1, else one more than the deepest parent.
 
     parents: (term, parent). Cycles are collapsed first: their members share one depth. rewrites: (old, new) terms that
     copy the depth of another term.
     """
     edges = parents.select(F.col("term").alias("lo"), F.col("parent").alias("hi")).where("lo is not null and hi is not null and lo <> hi").distinct()
-    loops = checkpointed(cycles(reach(edges)).select("term", "component"))
+    # what stays after peeling terms without parents, round by round, is below or on cycles; only that is searched for them
+    rest = edges = checkpointed(edges)
+    while True:
+        inner = checkpointed(rest.join(rest.select(F.col("lo").alias("hi")).distinct(), "hi", "left_semi").join(rest.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi"))
+        before, rest = rest, inner
+        if rest.isEmpty() or rest.count() == before.count():
+            break
+    loops = checkpointed(cycles(reach(rest)).select("term", "component"))
     a, b = loops.select(F.col("term").alias("lo"), F.col("component").alias("lo_c")), loops.select(F.col("term").alias("hi"), F.col("component").alias("hi_c"))
     dag = edges.join(a, "lo", "left").join(b, "hi", "left").select(F.coalesce("lo_c", "lo").alias("lo"), F.coalesce("hi_c", "hi").alias("hi")).where("lo <> hi").distinct()
     dag = checkpointed(dag.where(F.col("lo") != root))
     terms = checkpointed(dag.select(F.col("lo").alias("term")).union(dag.select(F.col("hi").alias("term"))).union(edges.where(F.col("lo") == root).select(F.lit(root).alias("term"))).distinct())
     depth = checkpointed(terms.select("term", F.when(F.col("term") == root, 0).otherwise(1).alias("depth")))
-    for _ in range(most_rounds):
+    while True:
         up = depth.select(F.col("term").alias("hi"), F.col("depth").alias("parent"))
         grown = dag.join(up, "hi").groupBy(F.col("lo").alias("term")).agg((F.max("parent") + 1).alias("more"))
         nxt = checkpointed(depth.join(grown, "term", "left").select("term", F.greatest("depth", F.coalesce("more", F.lit(0))).alias("depth"), (F.coalesce("more", F.lit(0)) > F.col("depth")).alias("__grew")))

@@ -1,7 +1,7 @@
 """Validated ingest: integrity constraints over a batch of candidate edges.
 
-Each constraint is one set-based violation query; the first that an edge breaks gives its code. Edges are checked
-against the knowledge base as it is, the whole batch at once.
+Each constraint is one set-based violation query; the first that an edge breaks gives its code. validate() checks a whole
+batch against the knowledge base as it is; admit() also checks the edges of the batch against each other.
 """
 
 from __future__ import annotations
@@ -58,11 +58,16 @@ def argument_violations(kb: KB, edges: DataFrame) -> DataFrame:
     return bad.withColumn("kind", F.lit("Isa")).unionByName(bad_genl.withColumn("kind", F.lit("Genl")))
 
 
+def _members(kb: KB, cls: str) -> DataFrame:
+    """(term): all instances of one class, found from the class downwards."""
+    return kb.instances(kb.spark.createDataFrame([(cls,)], "hi string")).select(F.col("a").alias("term")).distinct()
+
+
 def orders(kb: KB, terms: DataFrame) -> DataFrame:
     """(term, order): the collection orders that a term is an instance of."""
-    types = kb.types()
-    order = types.where(F.col("b") == "CollectionOrder").select(F.col("a").alias("b"))
-    return types.join(terms.select(F.col("term").alias("a")).distinct(), "a", "left_semi").join(order, "b", "left_semi").select(F.col("a").alias("term"), F.col("b").alias("order"))
+    order = checkpointed(_members(kb, "CollectionOrder"))
+    below = kb.instances(order.select(F.col("term").alias("hi")))
+    return below.join(terms.select(F.col("term").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias("term"), F.col("b").alias("order"))
 
 
 def order_violations(kb: KB, edges: DataFrame) -> DataFrame:
@@ -72,12 +77,10 @@ def order_violations(kb: KB, edges: DataFrame) -> DataFrame:
     a, b = known.select(F.col("term").alias("arg1"), F.col("order").alias("x")), known.select(F.col("term").alias("arg2"), F.col("order").alias("y"))
     met = both.join(a, "arg1").join(b, "arg2")
     genls = met.where((F.col("pred") == "genls") & (F.col("x") != F.col("y"))).select("edge_id")
-    steps = kb.types().select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(True).alias("up")).distinct()
+    steps = kb.types(known.select(F.col("order").alias("term"))).select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(True).alias("up")).distinct()
     isa = met.where(F.col("pred") == "isa").join(steps, ["x", "y"], "left").groupBy("edge_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce("up", F.lit(False))).alias("ok"))
     isa = isa.where((F.col("n") != 1) | ~F.col("ok")).select("edge_id")
-    types = kb.types()
-    collections = types.where(F.col("b") == "Collection").select(F.col("a").alias("arg1"))
-    first_order = types.where(F.col("b") == "FirstOrderCollection").select(F.col("a").alias("arg2"))
+    collections, first_order = _members(kb, "Collection").withColumnRenamed("term", "arg1"), _members(kb, "FirstOrderCollection").withColumnRenamed("term", "arg2")
     into = both.where(F.col("pred") == "isa").join(collections, "arg1", "left_semi").join(first_order, "arg2", "left_semi").select("edge_id")
     return genls.union(isa).union(into).distinct()
 
@@ -98,9 +101,8 @@ def disjoint_violations(kb: KB, edges: DataFrame) -> DataFrame:
 
 
 def _monotonic(kb: KB) -> DataFrame:
-    types = kb.types()
-    mono = types.where(F.col("b") == "DefaultMonotonicPredicate").select(F.col("a").alias("pred")).union(kb.spark.createDataFrame([("isa",), ("genls",)], "pred string"))
-    return mono.distinct().join(types.where(F.col("b") == "SymmetricBinaryPredicate").select(F.col("a").alias("pred")), "pred", "left_anti")
+    mono = _members(kb, "DefaultMonotonicPredicate").withColumnRenamed("term", "pred").union(kb.spark.createDataFrame([("isa",), ("genls",)], "pred string"))
+    return mono.distinct().join(_members(kb, "SymmetricBinaryPredicate").withColumnRenamed("term", "pred"), "pred", "left_anti")
 
 
 def cyclic_violations(kb: KB, edges: DataFrame) -> DataFrame:
@@ -144,6 +146,7 @@ def validate(kb: KB, edges: DataFrame, semantic: bool = True) -> Checked:
         flag(live.where(~model.is_node(F.col("arg1"))), "NON_NODE"),
     ]
     if semantic:
+        kb.strict("genls"), kb.strict("genls", up=False)  # once for all constraints
         arity = kb.asserted("arity").select(F.col("a").alias("pred"), model.number(F.col("b")).cast("int").alias("asked"))
         found.append(flag(live.join(arity, "pred").where(F.col("asked") != F.col("arity")), "ARITY"))
         found.append(flag(argument_violations(kb, live.where("sign = 1")), "ARG"))
@@ -160,6 +163,68 @@ def validate(kb: KB, edges: DataFrame, semantic: bool = True) -> Checked:
     return Checked(e.join(worst, "edge_id", "left_anti"), rejects)
 
 
+def _grown(kb: KB, more: DataFrame) -> KB:
+    return KB(kb.edges.unionByName(more.select(*kb.edges.columns)), kb.isa_neg_via_genls, kb.strict_or, kb.numeric_equals, kb.now, kb.small)
+
+
+def _conflicts(kb: KB, edges: DataFrame) -> DataFrame:
+    """edge_id of edges that break a constraint in a knowledge base which has them all, and of direct opposites among them."""
+    key = ["pred", "args", "sign"]
+    opposite = edges.select("edge_id", *key).join(edges.select("pred", "args", (-F.col("sign")).alias("sign")), key, "left_semi").select("edge_id")
+    return checkpointed(opposite.union(disjoint_violations(kb, edges)).union(cyclic_violations(kb, edges)).union(negated_violations(kb, edges)).distinct())
+
+
+def admit(kb: KB, edges: DataFrame) -> Checked:
+    """As if the edges came one by one in order of edge_id: of edges that contradict each other the first is accepted.
+
+    All edges that hold together with the whole batch are accepted at once. Of the others each round accepts those that
+    come first at all their terms (only the very first if these contradict each other too), and checks the rest again.
+    """
+    got = validate(kb, edges)
+    rejects, accepted = got.rejects, []
+    ok = checkpointed(got.accepted)
+    removed = ok.where("removed")
+    ok = ok.where(~F.col("removed"))
+    while not ok.isEmpty():
+        if ok.limit(2).count() == 1:  # nothing to contradict
+            accepted.append(ok)
+            break
+        flagged = _conflicts(_grown(kb, ok), ok)
+        clear = checkpointed(ok.join(flagged, "edge_id", "left_anti"))
+        accepted.append(clear)
+        kb = _grown(kb, clear)
+        held = checkpointed(ok.join(flagged, "edge_id", "left_semi"))
+        if held.isEmpty():
+            break
+        at = held.select("edge_id", F.explode("args").alias("term"))
+        late = at.join(at.groupBy("term").agg(F.min("edge_id").alias("least")), "term").where("edge_id > least").select("edge_id").distinct()
+        first = checkpointed(held.join(late, "edge_id", "left_anti"))
+        if not _conflicts(_grown(kb, first), first).isEmpty():
+            first = checkpointed(held.orderBy("edge_id").limit(1))
+        accepted.append(first)
+        kb = _grown(kb, first)
+        got = validate(kb, held.join(first.select("edge_id"), "edge_id", "left_anti"))
+        rejects = rejects.unionByName(checkpointed(got.rejects))
+        ok = checkpointed(got.accepted)
+    out = removed
+    for x in accepted:
+        out = out.unionByName(x)
+    return Checked(out, rejects)
+
+
+def valid_argument(kb: KB, pred: str, pos: int, term: str) -> bool:
+    """Whether a term may stand at a place of a predicate; nothing is written."""
+    one = kb.spark.createDataFrame([(0, pred, [None] * (pos - 1) + [term])], "edge_id long, pred string, args array<string>")
+    return argument_violations(kb, one).where(F.col("pos") == pos).isEmpty()
+
+
+def valid_edge(kb: KB, text: str) -> str | None:
+    """Code of the first constraint that an assertion breaks; null if it holds."""
+    one = model.edges_of(kb.spark, [text])
+    row = validate(kb, one).rejects.select("code").first()
+    return None if row is None else row[0]
+
+
 def first_violation(kb: KB, expr: tuple) -> str | None:
     """Code of the constraint that refutes one ground sentence, if any (not the negation, which is the query itself)."""
     row = model.row(expr, 0)

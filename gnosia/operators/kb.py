@@ -251,5 +251,20 @@ class KB:
         return up.join(axiom, "axiom_term").select("term", "axiom_term", "sign").union(axiom.select(F.col("axiom_term").alias("term"), "axiom_term", "sign")).distinct()
 
 
+    def disjoint_map_changed(self, known: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+        """disjoint_map() after axioms (x, y), in either order, came or went: only rows of their ends are touched."""
+        out, axiom = known, self.axioms()
+        if removed is not None:
+            gone = removed.select("x", "y").union(removed.select(F.col("y").alias("x"), F.col("x").alias("y")))
+            left = axiom.join(gone, ["x", "y"], "left_anti").select(F.col("x").alias("axiom_term"), "sign").distinct()
+            ends = gone.select(F.col("x").alias("axiom_term")).distinct()
+            out = out.join(ends, "axiom_term", "left_anti").select(*known.columns).union(out.join(ends, "axiom_term", "left_semi").join(left, ["axiom_term", "sign"], "left_semi").select(*known.columns))
+        if added is not None:
+            ends = added.select(F.col("x").alias("hi")).union(added.select(F.col("y").alias("hi"))).distinct()
+            up = self.strict("genls").where("lo <> hi").join(ends, "hi", "left_semi").select("lo", "hi").union(ends.select(F.col("hi").alias("lo"), "hi"))
+            out = out.union(up.select(F.col("lo").alias("term"), F.col("hi").alias("axiom_term"), F.lit(1).alias("sign")))
+        return out.distinct()
+
+
 def pair(spark, a: str, b: str) -> DataFrame:
     return spark.createDataFrame([(a, b)], "a string, b string")

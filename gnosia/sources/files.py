@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from gnosia import model
 from gnosia.functions import dates
-from gnosia.operators.constraints import as_text, insert, propagate, strictly_functional, validate
+from gnosia.operators.constraints import admit, as_text, insert, propagate, strictly_functional
 from gnosia.operators.kb import KB
 from gnosia.operators.tables import ship
 from gnosia.operators.tables import written as checkpointed
@@ -56,12 +56,12 @@ def read_assertions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return edges.dropDuplicates(["pred", "args", "sign"]), rejects.withColumn("detail", F.create_map().cast("map<string,string>"))
 
 
-def load(kb: KB, candidates: DataFrame, rounds: int = 20) -> tuple[KB, DataFrame]:
-    """Validated load: accept what holds, try retryable rejects again until their number stays; (grown kb, rejects)."""
+def load(kb: KB, candidates: DataFrame) -> tuple[KB, DataFrame]:
+    """Validated load: accept what holds, in order of edge_id, and try the rejects again until a round accepts nothing; (grown kb, rejects)."""
     waiting, edges, left = checkpointed(candidates), kb.edges, None
-    for _ in range(rounds):
+    while True:
         now = KB(edges, kb.isa_neg_via_genls, kb.strict_or, kb.numeric_equals, kb.now, kb.small)
-        got = validate(now, waiting)
+        got = admit(now, waiting)
         accepted = checkpointed(got.accepted)
         n = accepted.count()
         rejects = checkpointed(got.rejects)
@@ -213,7 +213,7 @@ def find_nodes(kb: KB, texts: DataFrame) -> DataFrame:
     """(text, term): terms with that alias, without regard to case, and the dates that a text can mean."""
     t = texts.select("text").distinct()
     named = t.join(aliases(kb), F.lower("text") == F.col("alias")).select("text", "term")
-    return named.union(t.where(F.length("text") <= 64).select("text", F.explode(dates.date_terms("text")).alias("term"))).distinct()
+    return named.union(t.select("text", F.explode(dates.date_terms("text")).alias("term"))).distinct()
 
 
 def sense_pairs(kb: KB, triples: DataFrame) -> DataFrame:
@@ -249,6 +249,29 @@ def functional(kb: KB) -> DataFrame:
     return strictly_functional(kb)
 
 
+def write_rejects(rejects: DataFrame, path: str) -> None:
+    """The reject log: raw text and code, by code."""
+    rejects.select("raw", "code").write.mode("append").partitionBy("code").csv(path, sep="\t")
+
+
+def write_log(df: DataFrame, path: str) -> None:
+    """Rows of new pairs, counts or decisions, appended as CSV."""
+    df.write.mode("append").csv(path)
+
+
+def node_table(edges: DataFrame) -> DataFrame:
+    """(name, term, kind): every term of the edges under the name that csv_tables() gives it."""
+    _, named = csv_tables(edges, all_predicates=True)
+    n = model.nodes(edges).select("term", "kind")
+    return n.join(named, "term", "left").select(F.coalesce("name", "term").alias("name"), "term", "kind")
+
+
+def random_nodes(edges: DataFrame, n: int = 1, seed: int = 0) -> DataFrame:
+    """n terms drawn by a seeded hash."""
+    terms = edges.select(F.explode("args").alias("term")).where(model.is_node(F.col("term"))).distinct()
+    return terms.orderBy(F.xxhash64("term", F.lit(seed)), "term").limit(n)
+
+
 def random_edges(edges: DataFrame, n: int = 1, seed: int = 0, functions: bool = True) -> DataFrame:
     """n edges drawn by a seeded hash; without functional terms if so asked."""
     e = edges if functions else edges.where(~F.exists("args", lambda a: a.startswith("(")))

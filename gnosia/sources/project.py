@@ -35,14 +35,18 @@ UNION ALL SELECT * FROM (VALUES {", ".join(map(str, FACTS))}) AS v(pred, arg1, a
 """
 
 
-def ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edge table of the relational tables in a folder, lazily: filters on pred prune whole branches of the union."""
-    sql = EDGE_SQL
+def over_tables(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A statement over the relational tables of a folder, lazily: filters prune whole branches of a union."""
     for name in TABLES:
         view = f"gnosia_{name}_{abs(hash(sf_dir)) % 10**8}"
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(view)
         sql = sql.replace(f"FROM {name} ", f"FROM {view} AS {name} ").replace(f"FROM {name}\n", f"FROM {view} AS {name}\n").replace(f"JOIN {name} ", f"JOIN {view} AS {name} ")
-    return edges_from_pairs(spark.sql(sql))
+    return spark.sql(sql)
+
+
+def ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edge table of the relational tables in a folder."""
+    return edges_from_pairs(over_tables(spark, sf_dir, EDGE_SQL))
 
 
 _stored: dict[tuple[str, str], str] = {}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gnosia import model
 from gnosia.operators import closure as C
-from gnosia.operators.constraints import insert, validate
+from gnosia.operators.constraints import admit, insert
 from gnosia.operators.kb import KB
 from gnosia.operators.tables import written as checkpointed
 
@@ -47,7 +47,7 @@ class Maintainer:
         old, closure = self.edges(), self.closure()
         new = checkpointed(batch.dropDuplicates(["pred", "args", "sign", "removed"]))
         if self.check:
-            got = validate(KB(old), new)
+            got = admit(KB(old), new)
             got.rejects.write.mode("overwrite").parquet(self._path("rejects", batch_id + 1))
             new = checkpointed(got.accepted)
         key = ["pred", "args", "sign"]
