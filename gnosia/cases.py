@@ -291,20 +291,6 @@ def v_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constraints.validate(kb, edges).rejects.select("raw", "code")
 
 
-@query("v_batch_conflicts", """SELECT '(genls market:' || n_name || ' nation:' || n_name || ')' AS raw, 'CYCLIC' AS code FROM nation UNION ALL SELECT '(isa new:' || n_nationkey || ' Product)', 'DISJOINT' FROM nation
-UNION ALL SELECT '(not (likes new:' || n_nationkey || ' BUILDING))', 'NEGATED' FROM nation""")
-def v_batch_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of one batch that contradict each other: the first by edge_id holds, the second goes."""
-    kb = KB(stored(spark, sf_dir))
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    name, new = F.concat(F.lit("nation:"), "n_name"), F.concat(F.lit("new:"), F.col("n_nationkey").cast("string"))
-    market, one = F.concat(F.lit("market:"), "n_name"), F.lit(1)
-    first = n.select(F.lit("genls").alias("pred"), name.alias("arg1"), market.alias("arg2"), one.alias("sign")).union(n.select(F.lit("isa"), new, F.lit("Place"), one)).union(n.select(F.lit("likes"), new, F.lit("BUILDING"), one))
-    second = n.select(F.lit("genls").alias("pred"), market.alias("arg1"), name.alias("arg2"), one.alias("sign")).union(n.select(F.lit("isa"), new, F.lit("Product"), one)).union(n.select(F.lit("likes"), new, F.lit("BUILDING"), -one))
-    early, late = (model.edges_from_pairs(x).withColumn("edge_id", F.pmod("edge_id", F.lit(1 << 60)) + k * (1 << 60)) for k, x in enumerate((first, second)))
-    return constraints.admit(kb, early.unionByName(late)).rejects.select("raw", "code")
-
-
 @query("v11_insert", "SELECT pred, count(*) AS n FROM (SELECT pred, arg1, arg2, sign FROM e WHERE pred IN ('custSegment', 'genls') UNION SELECT 'custSegment', arg1, 'NEW', 1 FROM e WHERE pred = 'custSegment') GROUP BY 1")
 def v11_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges asserted again stay one; new ones come."""

@@ -178,7 +178,8 @@ def admit(kb: KB, edges: DataFrame) -> Checked:
     """As if the edges came one by one in order of edge_id: of edges that contradict each other the first is accepted.
 
     All edges that hold together with the whole batch are accepted at once. Of the others each round accepts those that
-    come first at all their terms (only the very first if these contradict each other too), and checks the rest again.
+    come first at their subject, or both their classes (only the very first if these contradict each other too), and
+    checks the rest again.
     """
     got = validate(kb, edges)
     rejects, accepted = got.rejects, []
@@ -196,7 +197,8 @@ def admit(kb: KB, edges: DataFrame) -> Checked:
         held = checkpointed(ok.join(flagged, "edge_id", "left_semi"))
         if held.isEmpty():
             break
-        at = held.select("edge_id", F.explode("args").alias("term"))
+        # classes meet at both ends, other edges at what they are about; the check of `first` finds what this misses
+        at = held.select("edge_id", F.explode(F.when(F.col("pred").isin("genls", "genlPreds", "disjointWith"), F.col("args")).otherwise(F.array("arg1"))).alias("term"))
         late = at.join(at.groupBy("term").agg(F.min("edge_id").alias("least")), "term").where("edge_id > least").select("edge_id").distinct()
         first = checkpointed(held.join(late, "edge_id", "left_anti"))
         if not _conflicts(_grown(kb, first), first).isEmpty():

@@ -90,6 +90,14 @@ def test_load_until_stable(spark):
     assert [r.raw for r in rejects.collect()] == ["(occupation Rock Actor)"]
 
 
+def test_edges_of_one_batch(spark):
+    """Edges that contradict each other: the first by edge_id holds."""
+    lines = ["(genls A B)", "(genls B A)", "(likes A B)", "(not (likes A B))", "(isa x P)", "(isa x Q)"]
+    got = constraints.admit(kb(spark, "(disjointWith P Q)"), candidates(spark, *lines))
+    assert sorted(r.edge_id - 1000 for r in got.accepted.collect()) == [0, 2, 4]
+    assert {r.raw: r.code for r in got.rejects.collect()} == {lines[1]: "CYCLIC", lines[3]: "NEGATED", lines[5]: "DISJOINT"}
+
+
 @pytest.mark.parametrize("line", ["(p A B)"])
 def test_empty_base(spark, line):
     assert codes(spark, ["(q A B)"], line) == [None]
