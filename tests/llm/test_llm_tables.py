@@ -186,6 +186,18 @@ def test_near_copies_by_likeness(spark, bucket):
     assert sum(old[ids[i]] != old[ids[j]] for i, j in pairs) > len(pairs) / 2
 
 
+def test_marked_rows(spark):
+    """No wanted row is lost; with few wanted rows few others pass; no wanted row, none passes."""
+    from pyspark.sql import functions as F
+
+    from gnosia.llm import likeness
+
+    df = spark.range(20000).select("id", F.xxhash64("id").alias("mark"), F.lit("text").alias("text"))
+    got = {r.id for r in likeness._marked(df, df.where("id % 100 = 0")).collect()}
+    assert {*range(0, 20000, 100)} <= got and len(got) < 210
+    assert likeness._marked(df, df.limit(0)).count() == 0
+
+
 def test_pipeline_drops_near_copies(spark):
     import corpus_pipeline
 
