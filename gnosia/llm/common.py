@@ -8,19 +8,21 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gnosia.operators.tables import dropped, ship, temporary, written
 
-__all__ = ["BATCH_ROWS", "SLICE_BYTES", "as_text", "cut", "dropped", "map_texts", "release", "ship", "table", "temporary", "without", "written"]
+__all__ = ["BATCH_ROWS", "SLICE_BYTES", "as_text", "cut", "dropped", "hit", "map_texts", "marks", "release", "ship", "table", "temporary", "without", "written"]
 
 #: UTF-8 bytes of text handled at once in a Python worker; one longer text is handled alone.
 SLICE_BYTES = 1 << 19
 #: Rows of one Arrow batch sent to a Python worker.
 BATCH_ROWS = 512
+#: Bits of the map that marks rows; 4 MB for any table.
+MARKS = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,3 +86,28 @@ def map_texts(df: DataFrame, fields: Sequence[T.StructField], make: Callable[[],
             release(fn)
 
     return src.mapInArrow(run, schema)
+
+
+def marks(wanted: DataFrame) -> np.ndarray:
+    """A map of MARKS bits with those of wanted's column `mark` (long) set; its parts are built where the rows are."""
+    at = wanted.select(F.pmod("mark", F.lit(MARKS)).alias("at"))
+    parts = at.groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(1 << 15))).alias("bits"))
+    bits = np.zeros((MARKS >> 15, 1 << 12), np.uint8)
+    for r in parts.collect():  # at most MARKS / 2^15 rows of 4 KB
+        bits[r.part] = np.frombuffer(r.bits, np.uint8)
+    return bits.ravel()
+
+
+def hit(bits: np.ndarray, mark: Column) -> Column:
+    """Whether a mark may be one of those of marks(): true for all that are, and for others that share a bit with one.
+
+    It keeps rows that a join would not meet out of the join's exchange, and nothing else: what it lets pass is joined
+    exactly. Beyond a few hundred million marks no bit is clear and every row passes.
+    """
+
+    @F.arrow_udf(T.BooleanType())
+    def fn(mark: pa.Array) -> pa.Array:
+        at = mark.to_numpy(zero_copy_only=False) & (MARKS - 1)
+        return pa.array((bits[at >> 3] >> (at & 7)) & 1 > 0)
+
+    return fn(mark)

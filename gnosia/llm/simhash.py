@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gnosia.llm.common import map_texts, written
+from gnosia.llm.common import hit, map_texts, marks, written
 from gnosia.llm.graph import components
 from gnosia.llm.textvec import LOWER, U, gather, joined, raw, words, xxh64
 
@@ -254,13 +254,15 @@ def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", f
     first = found.groupBy("component").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", "first")
     many = written(found.join(first, "component").select("doc_id", "text_hash", (own == F.col("first")).alias("stays")).groupBy("doc_id", "text_hash", "stays").agg(F.count(F.lit(1)).alias("n")))
     marked = df.withColumn("__text", F.xxhash64(F.col(f"`{text}`").cast("string")))
+    touched = hit(marks(many.where("not stays or n > 1").select(F.xxhash64("doc_id", "text_hash").alias("mark"))), F.xxhash64(F.col(f"`{doc_id}`"), F.col("__text")))
+    alone = marked.where(~touched).drop("__text")
     same = [F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")), F.col("__text") == F.col("__hash")]
     gone = many.where("not stays").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    kept = marked.join(gone, same, "left_anti")
+    kept = marked.where(touched).join(gone.hint("merge"), same, "left_anti")
     again = many.where("stays and n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     if again.isEmpty():
-        return kept.drop("__text")
+        return alone.unionByName(kept.drop("__text"))
     row = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in df.columns])
-    ours = kept.join(again, same, "left_semi").withColumn("__row", row)
+    ours = kept.join(again.hint("merge"), same, "left_semi").withColumn("__row", row)
     once = ours.groupBy(F.col(f"`{doc_id}`").alias("__id"), F.col("__text").alias("__hash")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), "__row").alias("__first"))
-    return kept.join(again, same, "left_anti").drop("__text").unionByName(once.select("__first.*"))
+    return alone.unionByName(kept.join(again.hint("merge"), same, "left_anti").drop("__text")).unionByName(once.select("__first.*"))

@@ -190,12 +190,12 @@ def test_marked_rows(spark):
     """No wanted row is lost; with few wanted rows few others pass; no wanted row, none passes."""
     from pyspark.sql import functions as F
 
-    from gnosia.llm import likeness
+    from gnosia.llm.common import hit, marks
 
-    df = spark.range(20000).select("id", F.xxhash64("id").alias("mark"), F.lit("text").alias("text"))
-    got = {r.id for r in likeness._marked(df, df.where("id % 100 = 0")).collect()}
+    df = spark.range(20000).select("id", F.xxhash64("id").alias("mark"))
+    got = {r.id for r in df.where(hit(marks(df.where("id % 100 = 0")), F.col("mark"))).collect()}
     assert {*range(0, 20000, 100)} <= got and len(got) < 210
-    assert likeness._marked(df, df.limit(0)).count() == 0
+    assert df.where(hit(marks(df.limit(0)), F.col("mark"))).count() == 0
 
 
 def test_pipeline_drops_near_copies(spark):
