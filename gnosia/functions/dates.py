@@ -66,7 +66,7 @@ def parse_date(text: str | None) -> list[str]:
     return list(dict.fromkeys(t for order in ORDERS if (t := _read(order, words)) is not None))
 
 
-@F.udf(T.ArrayType(T.StringType()))
+@F.udf(T.ArrayType(T.StringType()), useArrow=True)
 def date_terms(text: str | None) -> list[str]:
     """parse_date() for a column of short strings."""
     return parse_date(text)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 from collections.abc import Callable
 
@@ -28,15 +29,24 @@ def concept_to_text(name: Column) -> Column:
     return camel_to_normal(F.regexp_replace(F.replace(name, F.lit("_"), F.lit(" ")), _SUFFIX, "$1 ($2)"))
 
 
+#: A part of a template and what it becomes when negated (fixed values); the first part that is there counts.
+NEGATIONS = (("(is)/(are)/", "(is)/(are)/ not"), ("(has)/(have)/", "(does not have)/(do not have)/"))
+
+
 def negate(template: Column) -> Column:
     """A predicate template made negative."""
-    isare, hashave = r"\(is\)/\(are\)/", r"\(has\)/\(have\)/"
-    return (
-        F.when(template.contains("(is)/(are)/"), F.regexp_replace(template, f"({isare})", "$1 not"))
-        .when(template.contains("(has)/(have)/"), F.regexp_replace(template, hashave, "(does not have)/(do not have)/"))
-        .when(template.contains(" is "), F.regexp_replace(template, r"(?s)^(.*?) is ", "$1 is not "))
-        .otherwise(F.concat(template, F.lit(" is not true")))
-    )
+    out = F.when(template.contains(" is "), F.regexp_replace(template, r"(?s)^(.*?) is ", "$1 is not ")).otherwise(F.concat(template, F.lit(" is not true")))
+    for part, negative in reversed(NEGATIONS):
+        out = F.when(template.contains(part), F.replace(template, F.lit(part), F.lit(negative))).otherwise(out)
+    return out
+
+
+def negated(template: str) -> str:
+    """negate() of one template."""
+    for part, negative in NEGATIONS:
+        if part in template:
+            return template.replace(part, negative)
+    return template.replace(" is ", " is not ", 1) if " is " in template else template + " is not true"
 
 
 def shortest(text: Column) -> Column:
@@ -72,14 +82,23 @@ def to_ascii(text: str) -> str:
     return "".join(c if ord(c) < 128 else SPELLED.get(c, "?") for c in bare)
 
 
+class _Spelling(dict):
+    """Characters of a concept name by what they become; all others part words."""
+
+    def __missing__(self, code: int) -> str:
+        return " "
+
+
+_SPELLING = _Spelling({ord(c): c for c in string.ascii_letters + string.digits + "-"} | {ord(c): "" for c in "!'."})
+_SPELLING |= {ord(c): w for c, w in (("&", " And "), ("@", " At "), ("+", " Plus "), ("(", "- "), (")", "- "))}
+
+
 def text_to_concept(text: str) -> str:
-    """A concept name: ASCII, punctuation spelled or dropped, words capitalised and joined."""
+    """A concept name: ASCII, punctuation spelled or dropped, words capitalised and joined; of exclamation marks alone, their word."""
     text = to_ascii(text)
-    text = text.replace("!", "" if text.strip("!") else "Exclm")
-    for mark, word in (("&", " And "), ("@", " At "), ("+", " Plus "), ("'", ""), (".", "")):
-        text = text.replace(mark, word)
-    text = re.sub(r"[()]", "- ", re.sub(r"[^A-Za-z0-9 ()-]", " ", text))
-    return "".join(w[0].upper() + w[1:] for w in text.split()).strip("-")
+    if not text.strip("!"):
+        return "Exclm" * len(text)
+    return "".join(w[0].upper() + w[1:] for w in text.translate(_SPELLING).split()).strip("-")
 
 
 @F.pandas_udf(T.StringType())
@@ -126,11 +145,12 @@ class Writer:
             return self.names[key]
         if not isinstance(expr, tuple):
             return plain(key)
-        inner = " & ".join(self.term(x) for x in expr[1:])
-        func = self.term(expr[0])
-        if "___" in func:
-            return re.sub("___+", lambda _: inner, func)
-        return f"{inner} ({func.removesuffix(' Fn')})".replace(") (", ", ")
+        func, *args = (self.term(x) for x in expr)
+        whole = " & ".join(args)
+        if "___" in func:  # the function's name has a place for its arguments
+            return re.sub("___+", lambda _: whole, func)
+        kind = func.removesuffix(" Fn")
+        return f"{whole[:-1]}, {kind})" if whole.endswith(")") else f"{whole} ({kind})"
 
     def sentence(self, expr, query: bool = False, show_variables: bool = False, markup: bool = False) -> str:
         """An assertion, or the question that a query asks."""
@@ -156,13 +176,7 @@ class Writer:
         out = re.sub(r"/(\d+)\((.+?)\)/\((.+?)\)/", lambda m: m[3] if args[int(m[1])].startswith(WHAT) else m[2], out)
         return re.sub(r"\$(\d+)", lambda m: args[int(m[1])] if int(m[1]) < len(args) else m[0], out) + "?" * query
 
-    @staticmethod
-    def _negated(t: str) -> str:
-        if "(is)/(are)/" in t:
-            return t.replace("(is)/(are)/", "(is)/(are)/ not")
-        if "(has)/(have)/" in t:
-            return t.replace("(has)/(have)/", "(does not have)/(do not have)/")
-        return t.replace(" is ", " is not ", 1) if " is " in t else t + " is not true"
+    _negated = staticmethod(negated)
 
     def markup(self, text: str, known: Callable[[str], bool] = lambda _: True, markup: bool = False) -> str:
         """Replace each [[term]] or [[term|text]] by the term's text."""

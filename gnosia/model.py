@@ -89,7 +89,7 @@ def literal_type(term: Column) -> Column:
     )
 
 
-@F.udf(T.ArrayType(T.StringType()))
+@F.udf(T.ArrayType(T.StringType()), useArrow=True)
 def term_parts(term: str | None) -> list[str] | None:
     """Top-level parts of a functional term (only functional terms should reach it)."""
     return None if term is None else sexpr.split_terms(term)
@@ -107,7 +107,7 @@ def nodes(edges: DataFrame) -> DataFrame:
     )
 
 
-@F.udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("depth", T.IntegerType()), T.StructField("term", T.StringType())])))
+@F.udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("depth", T.IntegerType()), T.StructField("term", T.StringType())])), useArrow=True)
 def _paths(pred: str, args: list[str]) -> list[tuple[str, int, str]]:
     return sexpr.paths((sexpr.parse(pred), *(sexpr.parse(a) for a in args)))
 

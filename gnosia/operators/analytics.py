@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -251,13 +253,18 @@ def new_disjoint_pairs(kb: KB, triples: DataFrame, least: float = 0.95, support:
     return found.groupBy("relation", "a", "b").agg(F.min(F.coalesce("score", F.lit(0.0))).alias("s")).where(F.col("s") >= parent_least).select("relation", "a", "b")
 
 
-def base_rate(kb: KB, n: int = 1000, seed: int = 0) -> DataFrame:
-    """(class, n) of n random pairs of classes: a Monte-Carlo estimate of how often classes are disjoint."""
-    terms = kb.occurring("genls")
-    w = Window.orderBy("h")
-    draw = lambda s: terms.select("term", F.xxhash64("term", F.lit(s)).alias("h")).orderBy("h").limit(n).withColumn("i", F.row_number().over(w))
-    pairs = draw(seed).select("i", F.col("term").alias("a")).join(draw(seed + 1).select("i", F.col("term").alias("b")), "i").where("a <> b")
-    return classify_pairs(kb, pairs.select("a", "b")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+def base_rate(kb: KB, n: int = 1000, seed: int = 0, draws: int = 5) -> DataFrame:
+    """(draw, class, n) of n random pairs of classes in each of some draws: a Monte-Carlo estimate of how often classes are disjoint."""
+    terms = checkpointed(kb.occurring("genls"))
+
+    def side(name: str, s: int) -> DataFrame:
+        # the n least hashes of each draw, numbered; n rows reach one task
+        one = [terms.select(F.lit(d).alias("draw"), F.col("term").alias(name), F.xxhash64("term", F.lit(s + 2 * d)).alias("h")).orderBy("h").limit(n) for d in range(draws)]
+        every = reduce(DataFrame.union, one)
+        return every.withColumn("i", F.row_number().over(Window.partitionBy("draw").orderBy("h", name))).drop("h")
+
+    pairs = checkpointed(side("a", seed).join(side("b", seed + 1), ["draw", "i"]).where("a <> b"))
+    return pairs.join(classify_pairs(kb, pairs.select("a", "b")), ["a", "b"]).groupBy("draw", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bubble_up(kb: KB, share: float = 0.4, least: int = 10) -> DataFrame:
@@ -310,8 +317,12 @@ def global_types(kb: KB, threshold: float = 0.9) -> DataFrame:
     return refine(one, kb.spark.createDataFrame([("*",)], "pred string"), threshold).select("type").distinct()
 
 
-def impose(kb: KB, refined: DataFrame) -> DataFrame:
-    """Edges after writing the refined constraints as argIsa and dropping the edges that break them."""
+def impose(kb: KB, refined: DataFrame, coerce: bool = False) -> DataFrame:
+    """Edges after writing the refined constraints as argIsa and dropping the edges that break them.
+
+    coerce: such edges are asserted again first, with the isa and genls edges that their arguments lack, and go only if
+    those are refused; a refined predicate without an edge left goes with all that is said about it.
+    """
     from gnosia.operators import constraints
 
     rows = refined.select(F.xxhash64("pred", "pos", "type").alias("edge_id"), F.lit("argIsa").alias("pred"), F.array("pred", F.concat(F.lit("'"), F.col("pos").cast("string")), "type").alias("args"))
@@ -323,7 +334,17 @@ def impose(kb: KB, refined: DataFrame) -> DataFrame:
     grown = KB(both, kb.isa_neg_via_genls, kb.strict_or, kb.numeric_equals, kb.now, kb.small)
     ours = grown.active.where("sign = 1").join(refined.select("pred").distinct(), "pred", "left_semi")
     bad = constraints.argument_violations(grown, ours).select("edge_id").distinct()
-    return both.join(bad, "edge_id", "left_anti")
+    if not coerce:
+        return both.join(bad, "edge_id", "left_anti")
+    bad = checkpointed(ours.join(bad, "edge_id", "left_semi"))
+    left = both.join(bad.select("edge_id"), "edge_id", "left_anti")
+    if not bad.isEmpty():
+        again = constraints.force(KB(checkpointed(left), kb.isa_neg_via_genls, kb.strict_or, kb.numeric_equals, kb.now, kb.small), bad)
+        left = checkpointed(left.unionByName(again.accepted.select(*left.columns)).unionByName(again.forced.select(*left.columns)))
+    used = left.where("sign = 1 and not removed").select("pred").distinct()
+    unused = refined.select("pred").distinct().join(used, "pred", "left_anti")
+    gone = left.select("edge_id", F.explode("args").alias("pred")).join(unused, "pred", "left_semi").select("edge_id").distinct()
+    return left.join(unused, "pred", "left_anti").select(*left.columns).join(gone, "edge_id", "left_anti")
 
 
 def resolve_predicate(kb: KB, pred: str, args: list[str]) -> DataFrame:

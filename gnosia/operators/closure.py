@@ -201,15 +201,20 @@ def depths(parents: DataFrame, root: str = "Thing", rewrites: DataFrame | None =
     a, b = loops.select(F.col("term").alias("lo"), F.col("component").alias("lo_c")), loops.select(F.col("term").alias("hi"), F.col("component").alias("hi_c"))
     dag = edges.join(a, "lo", "left").join(b, "hi", "left").select(F.coalesce("lo_c", "lo").alias("lo"), F.coalesce("hi_c", "hi").alias("hi")).where("lo <> hi").distinct()
     dag = checkpointed(dag.where(F.col("lo") != root))
-    terms = checkpointed(dag.select(F.col("lo").alias("term")).union(dag.select(F.col("hi").alias("term"))).union(edges.where(F.col("lo") == root).select(F.lit(root).alias("term"))).distinct())
+    # terms that nothing stands below take no part in the rounds; most terms are such
+    parent = dag.select(F.col("hi").alias("lo")).distinct()
+    inner, outer = checkpointed(dag.join(parent, "lo", "left_semi")), dag.join(parent, "lo", "left_anti")
+    terms = parent.select(F.col("lo").alias("term")).union(edges.where((F.col("lo") == root) | (F.col("hi") == root)).select(F.lit(root).alias("term"))).distinct()
     depth = checkpointed(terms.select("term", F.when(F.col("term") == root, 0).otherwise(1).alias("depth")))
     while True:
         up = depth.select(F.col("term").alias("hi"), F.col("depth").alias("parent"))
-        grown = dag.join(up, "hi").groupBy(F.col("lo").alias("term")).agg((F.max("parent") + 1).alias("more"))
+        grown = inner.join(up, "hi").groupBy(F.col("lo").alias("term")).agg((F.max("parent") + 1).alias("more"))
         nxt = checkpointed(depth.join(grown, "term", "left").select("term", F.greatest("depth", F.coalesce("more", F.lit(0))).alias("depth"), (F.coalesce("more", F.lit(0)) > F.col("depth")).alias("__grew")))
         depth = nxt.drop("__grew")
         if nxt.where("__grew").isEmpty():
             break
+    last = outer.join(depth.select(F.col("term").alias("hi"), F.col("depth").alias("parent")), "hi").groupBy(F.col("lo").alias("term")).agg((F.max("parent") + 1).alias("depth"))
+    depth = checkpointed(depth.union(last))
     out = depth.join(loops.where("term <> component").select(F.col("term").alias("__t"), F.col("component").alias("term")), "term").select(F.col("__t").alias("term"), "depth").union(depth)
     if rewrites is not None:
         copies = rewrites.select("old", "new").join(out.withColumnRenamed("term", "new"), "new").select(F.col("old").alias("term"), "depth")

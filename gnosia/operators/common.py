@@ -87,14 +87,14 @@ def _least(kb: KB, rows: DataFrame, given: tuple[str, ...], drop_self: bool = Fa
     members = rows.select(F.lit(1).alias("g"), F.col("X").alias("term"))
     if drop_self:
         members = members.where(F.col("term") != given[0])
-    return C.minimal(members, kb.strict("genls"), ["g"]).select(F.col("term").alias("X"))
+    return C.minimal(members, kb.upward(members.select(F.col("term").alias("lo"))), ["g"]).select(F.col("term").alias("X"))
 
 
 def _greatest(kb: KB, rows: DataFrame, given: tuple[str, ...], drop_self: bool = False) -> DataFrame:
     members = rows.select(F.lit(1).alias("g"), F.col("X").alias("term"))
     if drop_self:
         members = members.where(F.col("term") != given[0])
-    return C.maximal(members, kb.strict("genls"), ["g"]).select(F.col("term").alias("X"))
+    return C.maximal(members, kb.upward(members.select(F.col("term").alias("lo"))), ["g"]).select(F.col("term").alias("X"))
 
 
 def _max_instances(kb: KB, rows: DataFrame, given: tuple[str, ...]) -> DataFrame:

@@ -141,6 +141,12 @@ class KB:
         down = self.downward(seeds).select(F.col("lo").alias("t"), F.col("hi").alias("b"))
         return self.asserted(pred).select("a", F.col("b").alias("t")).join(down, "t").select("a", "b").distinct()
 
+    def depths(self) -> DataFrame:
+        """(term, depth) over genls, isa, genlPreds and genlMt edges and the result types of functional terms."""
+        e = self.active.where(F.col("pred").isin("genls", "isa", "genlPreds", "genlMt") & (F.col("sign") == 1)).select(F.col("arg1").alias("term"), F.col("arg2").alias("parent"))
+        more = self.function_results("resultGenl").union(self.function_results("resultIsa")).select(F.col("a").alias("term"), F.col("b").alias("parent"))
+        return C.depths(checkpointed(e.union(more)))
+
     def sub_predicates(self, pred: str) -> DataFrame:
         """The predicate and all below it (column pred)."""
         seed = self.spark.createDataFrame([(pred,)], "hi string")
@@ -178,16 +184,30 @@ class KB:
         state = F.when(F.col("direct_no"), FALSE).when(F.col("yes"), TRUE).when(F.col("no"), FALSE).otherwise(NIL)
         return out.select("a", "b", state.alias("state"))
 
-    def siblings_disjoint(self) -> DataFrame:
-        """(a, b, t): different instances of one sibling-disjoint collection type t."""
+    def sibling_members(self) -> DataFrame:
+        """(a, t): the instances of each sibling-disjoint collection type t. Pairs of them are made from what is asked only."""
 
         def make() -> DataFrame:
             seed = self.spark.createDataFrame([("SiblingDisjointCollectionType",)], "hi string")
-            members = self.instances(self.instances(seed).select(F.col("a").alias("hi"))).select("a", F.col("b").alias("t"))
-            return members.join(members.select(F.col("a").alias("b"), "t"), "t").where("a <> b").select("a", "b", "t")
+            return self.instances(self.instances(seed).select(F.col("a").alias("hi"))).select("a", F.col("b").alias("t"))
 
         return self._once(("siblings",), make)
 
+    def overlapping(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) with a common spec or instance.
+
+        Terms that stand under the same ends of pairs say the same: one of them is enough, so that a class with many
+        instances costs as many rows as there are different sets of ends above them. Sets are told apart by 192 bits.
+        """
+        ends = pairs.select(F.col("a").alias("hi")).union(pairs.select(F.col("b").alias("hi"))).distinct()
+        inst = self.instances(ends).select(F.col("a").alias("z"), F.col("b").alias("end"))
+        below = checkpointed(self.downward(ends).select(F.col("lo").alias("z"), F.col("hi").alias("end")).union(inst).distinct())
+        kinds = below.groupBy("z").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.xxhash64(F.lit(s), "end").cast("decimal(38,0)")).alias(f"h{s}") for s in (1, 2, 3)])
+        one = kinds.groupBy("n", "h1", "h2", "h3").agg(F.min("z").alias("z")).select("z")
+        few = checkpointed(below.join(one, "z"))
+        x, y = few.select("z", F.col("end").alias("a")), few.select(F.col("z").alias("__z"), F.col("end").alias("__b"))
+        return pairs.join(x, "a").join(y, (F.col("z") == F.col("__z")) & (F.col("b") == F.col("__b")), "left_semi").select("a", "b").distinct()
+
     def exceptions(self) -> DataFrame:
         e = self.asserted("siblingDisjointExceptions")
         return e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -217,15 +237,11 @@ class KB:
         met = met.groupBy("a", "b").agg(F.max("sign").alias("axiom"))
         out = goal.join(above, ["a", "b"], "left").join(met, ["a", "b"], "left")
         if want_false:
-            down = self.downward(ends.select(F.col("lo").alias("hi"))).select("lo", "hi")
-            inst = self.instances(ends.select(F.col("lo").alias("hi"))).select(F.col("a").alias("lo"), F.col("b").alias("hi"))
-            below = checkpointed(down.union(inst).distinct())
-            x, y = below.select(F.col("lo").alias("z"), F.col("hi").alias("a")), below.select(F.col("lo").alias("__z"), F.col("hi").alias("__b"))
-            common = goal.join(x, "a").join(y, (F.col("z") == F.col("__z")) & (F.col("b") == F.col("__b")), "left_semi").select("a", "b").distinct().withColumn("common", F.lit(True))
-            out = out.join(common, ["a", "b"], "left")
+            out = out.join(self.overlapping(goal).withColumn("common", F.lit(True)), ["a", "b"], "left")
         else:
             out = out.withColumn("common", F.lit(None).cast("boolean"))
-        siblings = self.siblings_disjoint().select("a", "b").distinct().withColumn("sibling", F.lit(True))
+        member = self.sibling_members()
+        siblings = goal.where("a <> b").join(member, "a").join(member.withColumnRenamed("a", "b"), ["b", "t"], "left_semi").select("a", "b").distinct().withColumn("sibling", F.lit(True))
         out = out.join(siblings, ["a", "b"], "left").join(self.exceptions().withColumn("exception", F.lit(True)), ["a", "b"], "left")
         state = (
             F.when(F.col("above"), FALSE).when(F.col("axiom") == 1, TRUE).when(F.col("axiom") == -1, FALSE).when(F.col("common"), FALSE)
@@ -241,7 +257,9 @@ class KB:
         found = up.join(axiom, up.hi == axiom.x).select(F.col("lo").alias("a"), F.col("y").alias("b"))
         back = up.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
         found = found.join(back, ["a", "b"], "left_anti")
-        siblings = self.siblings_disjoint().select("a", "b").join(seeds.select(F.col("lo").alias("a")), "a", "left_semi").join(self.exceptions(), ["a", "b"], "left_anti")
+        member = self.sibling_members()
+        mine = member.join(seeds.select(F.col("lo").alias("a")), "a", "left_semi")
+        siblings = mine.join(member.withColumnRenamed("a", "b"), "t").where("a <> b").select("a", "b").join(self.exceptions(), ["a", "b"], "left_anti")
         return found.union(siblings).distinct()
 
     def disjoint_map(self) -> DataFrame:

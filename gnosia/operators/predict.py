@@ -30,8 +30,23 @@ def train(features: DataFrame) -> PipelineModel:
     return Pipeline(stages=stages).fit(rows)
 
 
-def classify(model: PipelineModel, features: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(disamb1, disamb2, probability, state): the greatest probability over a pair's rows; TRUE from the threshold on, else NIL."""
-    scored = model.transform(_finite(features)).withColumn("p", vector_to_array("probability")[1])
-    out = scored.groupBy("disamb1", "disamb2").agg(F.max("p").alias("probability"))
+def classify(model: PipelineModel, features: DataFrame, threshold: float = 0.5, pairs: DataFrame | None = None) -> DataFrame:
+    """(disamb1, disamb2, probability, score, state) of each pair.
+
+    probability: the greatest over a pair's rows. score: 1 less the greatest class index of its rows, the index being 0
+    for disjoint and 1 for conjoint, so 1 only where all rows say disjoint; -1 without rows, for pairs (disamb1, disamb2)
+    if given. state: TRUE where the probability reaches the threshold, else NIL.
+    """
+    scored = model.transform(_finite(features)).select("disamb1", "disamb2", vector_to_array("probability")[1].alias("p"), (1 - F.col("prediction")).alias("index"))
+    out = scored.groupBy("disamb1", "disamb2").agg(F.max("p").alias("probability"), (1 - F.max("index")).alias("score"))
+    if pairs is not None:
+        out = pairs.select("disamb1", "disamb2").distinct().join(out, ["disamb1", "disamb2"], "left").fillna(-1.0, ["score"])
     return out.withColumn("state", F.when(F.col("probability") >= threshold, "TRUE").otherwise("NIL"))
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

@@ -448,7 +448,8 @@ class Engine:
             left = self._chain("genls", z, a) or self._type_proof(z, a)
             right = self._chain("genls", z, b) or self._type_proof(z, b)
             return [*left, *right[::-1]]
-        row = kb.siblings_disjoint().where((F.col("a") == a) & (F.col("b") == b)).orderBy("t").first()
+        member = kb.sibling_members()
+        row = member.where(F.col("a") == a).join(member.where((F.col("a") == b) & F.lit(a != b)), "t", "left_semi").orderBy("t").first()
         if row:
             parts = [self._type_proof(a, row["t"]), self._type_proof(b, row["t"]), self._type_proof(row["t"], "SiblingDisjointCollectionType")]
             out = [(i, *e[1:]) for i, p in enumerate(parts) for e in p]

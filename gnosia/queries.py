@@ -152,10 +152,7 @@ def depths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def depth_table(kb: KB) -> DataFrame:
-    """(term, depth) over genls, isa, genlPreds and genlMt edges and the result types of functional terms."""
-    e = kb.active.where(F.col("pred").isin("genls", "isa", "genlPreds", "genlMt") & (F.col("sign") == 1)).select(F.col("arg1").alias("term"), F.col("arg2").alias("parent"))
-    more = kb.function_results("resultGenl").union(kb.function_results("resultIsa")).select(F.col("a").alias("term"), F.col("b").alias("parent"))
-    return C.depths(checkpointed(e.union(more)))
+    return kb.depths()
 
 
 @query("cycles_none", "SELECT lo AS term, lo AS component, dist AS length FROM cl WHERE lo = hi")
@@ -188,28 +185,32 @@ named("c_minisa", "MINISA", ("part:5",), "SELECT b AS X FROM isa WHERE a = 'part
 named("c_specs", "SPECS", ("Place",), "SELECT lo AS X FROM cl WHERE hi = 'Place' UNION SELECT 'Place'")
 
 
-@query("min_common_genls_bulk", """, r AS (SELECT lo, hi FROM cl UNION SELECT term, term FROM occ), k AS (SELECT term FROM occ WHERE starts_with(term, 'nation:') OR starts_with(term, 'ptype:') OR starts_with(term, 'brand:')),
-c AS (SELECT x.lo AS a, y.lo AS b, x.hi AS t FROM r x JOIN r y ON x.hi = y.hi JOIN k ka ON ka.term = x.lo JOIN k kb ON kb.term = y.lo WHERE x.lo < y.lo)
-SELECT a, b, t AS parent FROM c WHERE NOT EXISTS (SELECT 1 FROM c d JOIN cl ON cl.lo = d.t AND cl.hi = c.t WHERE d.a = c.a AND d.b = c.b)""")
+_SIBLINGS = "SELECT DISTINCT x.lo AS a, y.lo AS b FROM gen x JOIN gen y ON x.hi = y.hi WHERE x.lo < y.lo"
+
+
+def _siblings(kb: KB) -> DataFrame:
+    """(a, b): all classes with a direct superclass in common."""
+    e = kb.asserted("genls")
+    return e.select(F.col("b").alias("p"), "a").join(e.select(F.col("b").alias("p"), F.col("a").alias("b")), "p").where("a < b").select("a", "b").distinct()
+
+
+@query("min_common_genls_bulk", f""", r AS (SELECT lo, hi FROM cl UNION SELECT term, term FROM occ), s AS ({_SIBLINGS}),
+c AS MATERIALIZED (SELECT s.a, s.b, x.hi AS t FROM s JOIN r x ON x.lo = s.a JOIN r y ON y.lo = s.b AND y.hi = x.hi)
+SELECT c.a, c.b, c.t AS parent FROM c ANTI JOIN (SELECT DISTINCT d.a, d.b, cl.hi AS t FROM c d JOIN cl ON cl.lo = d.t) o ON o.a = c.a AND o.b = c.b AND o.t = c.t""")
 def min_common_genls_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lowest common ancestors of all pairs of nations, part types and brands; pairs come from the ancestor they share."""
+    """Lowest common ancestors of all sibling classes."""
     kb = kb_of(spark, sf_dir)
-    up = kb.closure("genls", up=False)
-    ours = up.where(F.col("lo").rlike("^(nation|ptype|brand):"))
-    shared = ours.select(F.col("lo").alias("a"), F.col("hi").alias("term")).join(ours.select(F.col("lo").alias("b"), F.col("hi").alias("term")), "term").where("a < b")
-    return C.minimal(shared.select("a", "b", "term"), kb.strict("genls", up=False), ["a", "b"]).select("a", "b", F.col("term").alias("parent"))
+    pairs = checkpointed(_siblings(kb))
+    kb.strict("genls")
+    up = checkpointed(kb.upward(pairs.select(F.col("a").alias("lo")).union(pairs.select(F.col("b").alias("lo"))).distinct()).select("lo", "hi"))
+    shared = pairs.join(up.select(F.col("lo").alias("a"), F.col("hi").alias("term")), "a").join(up.select(F.col("lo").alias("b"), F.col("hi").alias("term")), ["b", "term"], "left_semi")
+    return C.minimal(shared.select("a", "b", "term"), kb.strict("genls"), ["a", "b"]).select("a", "b", F.col("term").alias("parent"))
 
 
 # ---- proofs and disjointness
 
 
-def _class_pairs(kb: KB) -> DataFrame:
-    terms = kb.occurring("genls").where(F.col("term").rlike("^(region|nation|ptype|brand):") | F.col("term").isin("Place", "Product", "Thing", "OrderEvent"))
-    other = terms.withColumnRenamed("term", "b").withColumn("k", F.lit(1))
-    return terms.withColumnRenamed("term", "a").withColumn("k", F.lit(1)).join(other, "k").where("a < b").select("a", "b")
-
-
-@query("disjoint_pairs", """, c AS (SELECT term FROM occ WHERE regexp_matches(term, '^(region|nation|ptype|brand):') OR term IN ('Place', 'Product', 'Thing', 'OrderEvent')), p AS (SELECT x.term AS a, y.term AS b FROM c x JOIN c y ON x.term < y.term),
+@query("disjoint_pairs", f""", p AS MATERIALIZED (SELECT a, b FROM ({_SIBLINGS}) UNION SELECT least(lo, hi), greatest(lo, hi) FROM gen),
 r AS MATERIALIZED (SELECT lo, hi FROM cl UNION SELECT term, term FROM occ),
 ax AS (SELECT a.lo AS a, b.lo AS b FROM r a JOIN r b ON (a.hi = 'Place' AND b.hi = 'Product') OR (a.hi = 'Product' AND b.hi = 'Place')),
 below AS MATERIALIZED (SELECT hi AS c, lo AS z FROM r UNION SELECT b, a FROM types),
@@ -217,8 +218,9 @@ ov AS (SELECT DISTINCT p.a, p.b FROM p JOIN below x ON x.c = p.a JOIN below y ON
 SELECT p.a, p.b, CASE WHEN EXISTS (SELECT 1 FROM cl WHERE (lo = p.a AND hi = p.b) OR (lo = p.b AND hi = p.a)) THEN 'FALSE' WHEN (p.a, p.b) IN (SELECT (a, b) FROM ax) THEN 'TRUE'
  WHEN (p.a, p.b) IN (SELECT (a, b) FROM ov) THEN 'FALSE' WHEN starts_with(p.a, 'region:') AND starts_with(p.b, 'region:') THEN 'TRUE' ELSE 'NIL' END AS state FROM p""")
 def disjoint_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sibling classes, and all classes with their superclasses."""
     kb = kb_of(spark, sf_dir)
-    return kb.prove_disjoint(_class_pairs(kb))
+    return kb.prove_disjoint(_siblings(kb).union(kb.asserted("genls").select(F.least("a", "b"), F.greatest("a", "b"))))
 
 
 @query("prove_isa_bulk", "SELECT c.a, n.b, CASE WHEN (c.a, n.b) IN (SELECT (arg1, arg2) FROM e WHERE pred = 'isa' AND sign = -1) THEN 'FALSE' WHEN (c.a, n.b) IN (SELECT (a, b) FROM types) THEN 'TRUE' ELSE 'NIL' END AS state FROM (SELECT DISTINCT arg1 AS a FROM e WHERE pred = 'custSegment') c, (VALUES ('GoodStanding'), ('Place'), ('nation:NATION_1'), ('Product')) n(b)")
@@ -229,11 +231,12 @@ def prove_isa_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kb.prove_isa(customers.withColumn("b", F.explode(F.array(*map(F.lit, ["GoodStanding", "Place", "nation:NATION_1", "Product"])))))
 
 
-@query("prove_genls_bulk", ", c AS (SELECT term FROM occ WHERE regexp_matches(term, '^(region|nation|ptype|brand):')) SELECT x.term AS a, y.term AS b, CASE WHEN x.term = y.term OR EXISTS (SELECT 1 FROM cl WHERE lo = x.term AND hi = y.term) THEN 'TRUE' ELSE 'NIL' END AS state FROM c x, c y")
+@query("prove_genls_bulk", f", s AS ({_SIBLINGS}), p AS (SELECT s.a, g.hi AS b FROM s JOIN gen g ON g.lo = s.b UNION SELECT g.hi, s.a FROM s JOIN gen g ON g.lo = s.b) SELECT p.a, p.b, CASE WHEN EXISTS (SELECT 1 FROM cl WHERE lo = p.a AND hi = p.b) THEN 'TRUE' ELSE 'NIL' END AS state FROM p")
 def prove_genls_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every class against the superclasses of its siblings, both ways."""
     kb = kb_of(spark, sf_dir)
-    terms = kb.occurring("genls").where(F.col("term").rlike("^(region|nation|ptype|brand):")).withColumn("k", F.lit(1))
-    return kb.prove_genls(terms.withColumnRenamed("term", "a").join(terms.withColumnRenamed("term", "b"), "k").select("a", "b"))
+    above = _siblings(kb).join(kb.asserted("genls").select(F.col("a").alias("b"), F.col("b").alias("c")), "b")
+    return kb.prove_genls(above.select("a", F.col("c").alias("b")).union(above.select("c", "a")))
 
 
 @query("disjoint_map", "SELECT lo AS term, hi AS axiom_term, 1 AS sign FROM (SELECT lo, hi FROM up UNION SELECT hi, hi FROM up) WHERE hi IN ('Place', 'Product')")
@@ -278,15 +281,13 @@ def a5_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("term", *[rounded(c) for c in ("ln_specs", "ln_instances", "ln_total")])
 
 
-@query("a6_similarity", """, f AS MATERIALIZED (SELECT a AS t, b AS f FROM types UNION SELECT lo, hi FROM up UNION SELECT term, term FROM occ), k AS (SELECT term FROM occ WHERE regexp_matches(term, '^(region|nation|ptype|brand|kind):')), g AS (SELECT t, f FROM f JOIN k ON k.term = t),
-n AS (SELECT t, count(*) AS n FROM g GROUP BY 1), b AS (SELECT x.t AS a, y.t AS b, count(*) AS c FROM g x JOIN g y ON x.f = y.f AND x.t < y.t GROUP BY ALL)
+@query("a6_similarity", f""", f AS MATERIALIZED (SELECT a AS t, b AS f FROM types UNION SELECT lo, hi FROM up UNION SELECT term, term FROM occ), p AS MATERIALIZED ({_SIBLINGS}),
+k AS (SELECT a AS t FROM p UNION SELECT b FROM p), g AS MATERIALIZED (SELECT t, f FROM f SEMI JOIN k USING (t)), n AS (SELECT t, count(*) AS n FROM g GROUP BY 1),
+b AS (SELECT p.a, p.b, count(*) AS c FROM p JOIN g x ON x.t = p.a JOIN g y ON y.t = p.b AND y.f = x.f GROUP BY ALL)
 SELECT b.a, b.b, round(c::DOUBLE / (x.n + y.n - c), 9) AS similarity FROM b JOIN n x ON x.t = b.a JOIN n y ON y.t = b.b""")
 def a6_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of classes of the hierarchy, which all share their root."""
-    kb = kb_of(spark, sf_dir)
-    terms = checkpointed(kb.occurring("genls").where(F.col("term").rlike("^(region|nation|ptype|brand|kind):")).withColumn("k", F.lit(1)))
-    pairs = terms.withColumnRenamed("term", "a").join(terms.withColumnRenamed("term", "b"), "k").where("a < b").select("a", "b")
-    return A.similarity_of(kb, pairs).select("a", "b", F.round("similarity", 9).alias("similarity"))
+    """All sibling classes, which share a superclass at least."""
+    return A.similarity_of(kb_of(spark, sf_dir), _siblings(kb_of(spark, sf_dir))).select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
 @query("a8_relation_counts", """, t AS (SELECT DISTINCT 'R' || (p_size % 3) AS relation, 'kind:' || p_type || '/' || p_brand AS k, 'nation:' || n_name AS n, 'ptype:' || p_type AS pt FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gnosia import model
 from gnosia.functions import dates
+from gnosia.operators.closure import minimal
 from gnosia.operators.constraints import admit, as_text, insert, propagate, strictly_functional
 from gnosia.operators.kb import KB
-from gnosia.operators.tables import ship
+from gnosia.operators.tables import few, ship
 from gnosia.operators.tables import written as checkpointed
 from gnosia.plans import sexpr
 
@@ -19,7 +23,7 @@ _ROW = T.StructType([
 ])
 
 
-@F.udf(_ROW)
+@F.udf(_ROW, useArrow=True)
 def _parsed(text: str | None):
     try:
         edge, sign, removed = sexpr.unwrap(sexpr.parse(text or ""))
@@ -156,6 +160,26 @@ def arff_lines(features: DataFrame) -> DataFrame:
     return features.select(F.concat_ws(",", *cols).alias("value"))
 
 
+#: Attribute lines that a header may have.
+MOST_ATTRIBUTES = 10_000
+
+
+def read_arff(spark: SparkSession, path: str) -> DataFrame:
+    """The data lines of an ARFF file under the names and types of its header; `?` is null, comments and blank lines are left out.
+
+    Numbers are doubles, all else strings. The header's lines are read on the driver and are at most MOST_ATTRIBUTES.
+    """
+    lines = spark.read.text(path)
+    head = few(lines.where(F.col("value").rlike(r"(?i)^\s*@attribute\s")), MOST_ATTRIBUTES)
+    if not head:
+        raise ValueError("no attributes, or too many of them")
+    found = [re.match(r"(?i)\s*@attribute\s+('[^']*'|\"[^\"]*\"|\S+)\s+(.*\S)", r.value) for r in head]
+    fields = [T.StructField(m[1].strip("'\""), T.DoubleType() if m[2].lower() in ("numeric", "real", "integer") else T.StringType()) for m in found]
+    data = lines.where(~F.col("value").rlike(r"^\s*([@%]|$)"))
+    row = F.from_csv("value", T.StructType(fields).simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"quote": "'", "escape": "\\", "nullValue": "?"})
+    return data.select(row.alias("r")).select("r.*")
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     df.write.csv(path, sep="\t", header=True)
 
@@ -245,6 +269,20 @@ def tangible_only(kb: KB, pairs: DataFrame, kind: str = "PartiallyTangible", mat
     return out.select("a", "b")
 
 
+def to_classes(kb: KB, pairs: DataFrame, names: tuple[str, str] = ("disamb1", "disamb2")) -> DataFrame:
+    """Pairs with each individual replaced by its least types; an individual without a type goes, as do pairs of one class."""
+    terms = reduce(DataFrame.union, [pairs.select(F.col(n).alias("term")) for n in names]).distinct()
+    classes = kb.occurring("genls")
+    direct = kb.types(terms.join(classes, "term", "left_anti")).where("dist = 0").select("a", F.col("b").alias("term"))
+    least = minimal(direct, kb.upward(direct.select(F.col("term").alias("lo"))), ["a"]).select(F.col("a").alias("from"), F.col("term").alias("to"))
+    known = terms.join(classes, "term", "left_semi").select(F.col("term").alias("from"), F.col("term").alias("to"))
+    swap = checkpointed(known.union(least).distinct())
+    out = pairs
+    for n in names:
+        out = out.join(swap.withColumnRenamed("from", n), n).drop(n).withColumnRenamed("to", n)
+    return out.where(F.col(names[0]) != F.col(names[1])).select(*pairs.columns).distinct()
+
+
 def functional(kb: KB) -> DataFrame:
     return strictly_functional(kb)
 

@@ -113,21 +113,37 @@ FACTS = """
 #: Text templates of predicates (fixed values): $n is an argument, /n(one)/(what things)/ chooses by argument n.
 TEMPLATES = {
     "argGenl": "/2(argument $2)/(what arguments)/ of $1 is a type of $3",
+    "arg1Genl": "argument 1 of $1 is a type of $2",
+    "arg2Genl": "argument 2 of $1 is a type of $2",
     "argIsa": "/2(argument $2)/(what arguments)/ of $1 is an instance of $3",
+    "arg1Isa": "argument 1 of $1 is an instance of $2",
+    "arg2Isa": "argument 2 of $1 is an instance of $2",
+    "argNotGenl": "/2(argument $2)/(what arguments)/ of $1 cannot be a type of $3",
+    "arg1NotGenl": "argument 1 of $1 cannot be a type of $2",
+    "arg2NotGenl": "argument 2 of $1 cannot be a type of $2",
+    "argNotIsa": "/2(argument $2)/(what arguments)/ of $1 cannot be an instance of $3",
+    "arg1NotIsa": "argument 1 of $1 cannot be an instance of $2",
+    "arg2NotIsa": "argument 2 of $1 cannot be an instance of $2",
     "arity": "$1 /1(has)/(have)/ arity /2($2)/(what)/",
     "assertedSentence": "$1 /1(is)/(are)/ asserted directly",
     "broaderTerm": "$2 /2(is)/(are)/ broader than $1",
     "comment": "$1 /1(has)/(have)/ /2(comment $2)/(what comment)/",
     "different": "$1 /1(is)/(are)/ different to $2",
     "disjointWith": "$1 /1(is)/(are)/ disjoint with $2",
+    "genlInverse": "$1 /1(is)/(are)/ a supertype of $2",
+    "genlMt": "$1 /1(is)/(are)/ a sub-microtheory of $2",
     "genlPreds": "$1 /1(is)/(are)/ a sub-predicate of $2",
     "genls": "$1 /1(is)/(are)/ a kind of $2",
     "isa": "$1 /1(is)/(are)/ an instance of $2",
     "laterThan": "$1 /1(is)/(are)/ later than $2",
+    "nlpPredicateString": "$2 /2(is)/(are)/ the NL predicate string for $1",
     "prettyString": "$1 /1(is)/(are)/ known as $2",
     "prettyString-Canonical": "$1 /1(is)/(are)/ commonly known as $2",
+    "quotedIsa": "$1 /1(is)/(are)/ implicitly an instance of $2",
     "resultGenl": "$2 /2(is)/(are)/ the type produced by $1",
     "resultIsa": "$2 /2(is)/(are)/ the instance produced by $1",
+    "resultGenlArg": "the type produced by $1 /1(is)/(are)/ the same as /2(argument $2)/(what arguments)/",
+    "resultIsaArg": "the instance produced by $1 /1(is)/(are)/ the same as /2(argument $2)/(what arguments)/",
     "rewriteOf": "$1 /1(is)/(are)/ the favoured rewrite of $2",
     "siblingDisjointExceptions": "$1 /1(is)/(are)/ exempt from disjointness with $2",
     "termStrings": "$1 /1(is)/(are)/ also known as $2",

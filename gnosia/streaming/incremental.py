@@ -7,6 +7,8 @@ gives the same version.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +17,14 @@ from gnosia.operators import closure as C
 from gnosia.operators.constraints import admit, insert
 from gnosia.operators.kb import KB
 from gnosia.operators.tables import written as checkpointed
+from gnosia.streaming.views import chosen
 
 
 class Maintainer:
-    """Versions of the edge table and its genls closure in a folder: edges/v=n, closure/v=n, rejects/v=n."""
+    """Versions of the edge table and its genls closure in a folder: edges/v=n, closure/v=n, rejects/v=n; and of views, by name."""
 
-    def __init__(self, spark: SparkSession, folder: str, check: bool = True) -> None:
-        self.spark, self.folder, self.check, self.version = spark, folder.rstrip("/"), check, -1
+    def __init__(self, spark: SparkSession, folder: str, check: bool = True, views: Sequence[str] = ()) -> None:
+        self.spark, self.folder, self.check, self.version, self.views = spark, folder.rstrip("/"), check, -1, chosen(views)
 
     def start(self, edges: DataFrame) -> None:
         """Version 0 from a first edge table."""
@@ -29,6 +32,8 @@ class Maintainer:
         edges.write.mode("overwrite").parquet(self._path("edges", 0))
         C.reach(pairs).write.mode("overwrite").parquet(self._path("closure", 0))
         self.version = 0
+        for name, view in self.views.items():
+            view.build(KB(self.edges())).write.mode("overwrite").parquet(self._path(name, 0))
 
     def _path(self, table: str, version: int) -> str:
         return f"{self.folder}/{table}/v={version}"
@@ -39,6 +44,9 @@ class Maintainer:
     def closure(self) -> DataFrame:
         return self.spark.read.schema(C.SCHEMA).parquet(self._path("closure", self.version))
 
+    def view(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self._path(name, self.version))
+
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch; batch ids count from 0, version n + 1 holds batches up to n."""
         if self.version < 0:
@@ -64,7 +72,11 @@ class Maintainer:
             closure = C.extend(closure, before, added)
         grown.write.mode("overwrite").parquet(self._path("edges", batch_id + 1))
         closure.write.mode("overwrite").parquet(self._path("closure", batch_id + 1))
+        known = {name: self.view(name) for name in self.views}
         self.version = batch_id + 1
+        after = KB(self.edges())
+        for name, view in self.views.items():
+            view.changed(known[name], KB(old), after, new).write.mode("overwrite").parquet(self._path(name, self.version))
 
     def stream(self, source: str, checkpoint: str):
         """Follow a folder of edge Parquet files; each file arrives once."""
