@@ -1,14 +1,22 @@
-"""Near-duplicates by the exact likeness of word shingles: the pipeline's stage of operator 4.
+"""Near-duplicates by SimHash and Golay keys, verified by the exact likeness of word shingles: the pipeline's stage of operator 4.
 
 A document is the set of its shingles of five words (A-Z lower-cased; fewer words are one shingle; none: the empty set).
-Two documents link if their sets have a Jaccard likeness of LIKENESS or more. Candidates share one of BANDS keys of ROWS
-min-hashes each: of pairs with a likeness of just 0.8 all but 5 in 100,000 do, of more alike ones fewer are missed.
-Every candidate is verified on the whole sets, so nothing links by chance.
-
-Equal sets are one node. First every node of a key is compared with one of them, the pivot: the one that meets most
-others over all its keys, which is the original of many copies. What is then in one component is not compared again. The
-others of a key are compared in pairs where they are few; where they are many, the nodes of each pivot are dealt to blocks
-of about BLOCK, and pairs of blocks that share a key are compared in one task each, so that no pair of nodes is ever a row.
+Two documents link if their sets have a Jaccard likeness of LIKENESS or more; equal sets are one node.
+
+Operator 4's keys are complete for two bits of 64, which only near-identical texts keep. Here each set has a SimHash of
+256 bits, of which sets of a likeness of 0.8 differ in 39 on average. It is cut into SEGMENTS words of the Golay code;
+keys are a segment's number and a codeword that the segment or a one-bit change of it decodes to. Two such segments
+share a codeword in 0.60 of cases, so all but 4 in 100,000 pairs of just 0.8 share a key (of texts of under ten words,
+whose votes are often tied, all but 1 in 1,000), of more alike ones fewer are missed. The fingerprints of a key are
+compared, and those within BITS link. There is no cut on the size of a key; as there are 45,056 keys, the comparisons grow
+with the square of the nodes: each node meets 8 in 100 of the others, at about a nanosecond each.
+
+Components of these links are what the exact check takes: within one, all nodes are compared on their whole sets, so
+nothing links by chance, and a link between texts of one component is found whether or not they share a key. First every
+node is compared with a pivot: the node nearest to the majority of the component's bits, which is the original of many
+copies. What is then in one component is not compared again. The others are compared in pairs where they are few; where
+they are many, the nodes of each pivot are dealt to blocks of about BLOCK, and pairs of blocks are compared in one task
+each, so that no pair of nodes is ever a row.
 
 Results: null and blank texts have the empty set and are alike; rows without a doc_id take part by their texts; rows
 that repeat a doc_id are told apart by their texts; an empty table gives an empty one.
@@ -26,12 +34,18 @@ from pyspark.sql import types as T
 
 from gnosia.llm.common import hit, map_texts, marks, written
 from gnosia.llm.graph import components
+from gnosia.llm.simhash import Golay, majority
 from gnosia.llm.textvec import LOWER, U, gather, mix, raw, words, xxh64
 
 #: Words of a shingle; least likeness of a link, in per cent.
 SHINGLE, LIKENESS = 5, 80
-#: Min-hashes of a key, keys of a document.
-ROWS, BANDS = 5, 25
+#: 64-bit words of a fingerprint, its 23-bit segments; the columns of the words.
+WORDS, SEGMENTS = 4, 11
+FP = [f"f{k}" for k in range(WORDS)]
+#: Differing bits up to which fingerprints link, and of their first words (a pair of 0.8 passes either but for 5 in a million).
+BITS, FIRST = 68, 24
+#: Fingerprints compared at once with how many others of their key; links of one from which its component is searched on its own.
+STEP, WIDE, DENSE = 256, 8192, 64
 #: Nodes of one key that are compared in pairs; nodes of a block, about.
 BUCKET, BLOCK = 64, 1024
 _GOLDEN = U(0x9E3779B97F4A7C15)
@@ -71,29 +85,137 @@ def digests(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def minima(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    """BANDS keys of each document whose set is not empty."""
-    seeds = mix(np.arange(1, 2 * ROWS * BANDS + 1, dtype=np.uint64) * U(0xD1B54A32D192ED03)).reshape(-1, 2)
-    some = ptr[:-1][np.diff(ptr) > 0]
-    keys = np.zeros((some.size, BANDS), np.uint64)
-    with np.errstate(over="ignore"):
-        for k, (a, b) in enumerate(seeds if some.size else []):
-            least = np.minimum.reduceat((h ^ a) * (b | U(1)), some)
-            keys[:, k // ROWS] = mix(keys[:, k // ROWS] + least + U(k // ROWS + 1)) * _GOLDEN
-    return keys.view(np.int64)
+def fingerprints(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """The SimHash of each set: WORDS rows of unsigned 64-bit numbers, the lowest bits first."""
+    return np.array([majority(mix(h ^ mix(np.array([k + 1], np.uint64))), np.diff(ptr)) for k in range(WORDS)])
+
+
+def segment(fp: np.ndarray, t: int) -> np.ndarray:
+    """Bits 23 t to 23 t + 22 of each fingerprint."""
+    word, at = divmod(23 * t, 64)
+    low = fp[word] >> U(at)
+    if at > 41:
+        low = low | fp[word + 1] << U(64 - at)
+    return (low & U((1 << 23) - 1)).astype(np.int64)
 
 
 def _signatures(df: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, keys); keys is null for the empty set."""
+    """(doc_id, text_hash, node, the words of the fingerprint)."""
 
     def fn(texts: pa.Array) -> dict:
         h, ptr = shingles(texts)
-        empty = np.diff(ptr) == 0
-        ends = np.concatenate([[0], np.cumsum(~empty)]) * BANDS
-        keys = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(minima(h, ptr).ravel()), mask=pa.array(empty))
-        return {"node": digests(h, ptr), "keys": keys}
+        return {"node": digests(h, ptr)} | dict(zip(FP, fingerprints(h, ptr).view(np.int64)))
+
+    return map_texts(df, [T.StructField(c, T.LongType()) for c in ["node", *FP]], lambda: fn, "text", ["doc_id", "text_hash"])
+
 
-    return map_texts(df, [T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))], lambda: fn, "text", ["doc_id", "text_hash"])
+def _words(batch: pa.RecordBatch, first: int) -> np.ndarray:
+    return np.array([batch.column(first + k).to_numpy(zero_copy_only=False) for k in range(WORDS)]).view(np.uint64)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, fingerprint): one row for each key of each."""
+    golay = Golay()
+    for batch in batches:
+        fp = _words(batch, 1)
+        for t in range(SEGMENTS):
+            row, number = golay.numbers(segment(fp, t), 23)
+            yield pa.RecordBatch.from_arrays([pa.array((t << 12 | number).astype(np.int32)), *(c.take(pa.array(row)) for c in batch.columns)], names=["key", "node", *FP])
+
+
+def _within(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): the pairs of a fingerprint of a and one of b that link."""
+    out = []
+    for at in range(0, b.shape[1], WIDE):
+        part = b[:, at : at + WIDE]
+        i, j = np.nonzero(np.bitwise_count(a[0][:, None] ^ part[0]) <= FIRST)
+        near = np.bitwise_count(a[:, i] ^ part[:, j]).sum(axis=0, dtype=np.int64) <= BITS
+        out.append((i[near], j[near] + at))
+    return np.concatenate([i for i, _ in out] or [np.zeros(0, np.int64)]), np.concatenate([j for _, j in out] or [np.zeros(0, np.int64)])
+
+
+def _reached(fp: np.ndarray, seed: int, pool: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges that span the component of `seed` in `pool`; each of its other members is once the second end."""
+    pool, front = pool[pool != seed], np.array([seed])
+    while front.size:
+        found = []
+        for at in range(0, front.size, STEP):
+            part = front[at : at + STEP]
+            i, j = _within(fp[:, part], fp[:, pool])
+            j, first = np.unique(j, return_index=True)
+            if j.size:
+                yield part[i[first]], pool[j]
+                found.append(pool[j])
+                pool = np.delete(pool, j)
+        front = np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def linked(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges (positions) whose components are those of all pairs of these fingerprints that link."""
+    free, at = np.arange(fp.shape[1]), 0
+    while at < free.size:
+        rows, rest = free[at : at + STEP], free[at:]
+        i, j = _within(fp[:, rows], fp[:, rest])
+        i, j = i[i < j], j[i < j]
+        each = np.bincount(i, minlength=1)
+        if each.max() <= DENSE:
+            if i.size:
+                yield rows[i], rest[j]
+            at += STEP
+            continue
+        gone = [np.array([rows[each.argmax()]])]
+        for u, v in _reached(fp, int(gone[0][0]), free):
+            gone.append(v)
+            yield u, v
+        stays = ~np.isin(free, np.concatenate(gone))
+        at, free = int(np.count_nonzero(stays[:at])), free[stays]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(key, nodes, fingerprints) of each key; rows (key, node, fingerprint) come sorted by key."""
+    now, held = None, []
+    whole = lambda: (now, np.concatenate([n for n, _ in held]), np.concatenate([f for _, f in held], axis=1))
+    for batch in batches:
+        key, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        fp = _words(batch, 2)
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), key.size]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and key[a] != now:
+                yield whole()
+                held = []
+            now = int(key[a])
+            held.append((node[a:b], fp[:, a:b]))
+    if held:
+        yield whole()
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the fingerprints of each key."""
+    for _, node, fp in _runs(batches):
+        for u, v in linked(fp):
+            yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], names=["u", "v"])
+
+
+def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The majority of the bits of each key's fingerprints."""
+    for key, _, fp in _runs(batches):
+        n = np.array([fp.shape[1]])
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), *(pa.array(majority(f, n).view(np.int64)) for f in fp)], names=["key", *FP])
+
+
+def candidates(groups: DataFrame) -> DataFrame:
+    """(key, node, rank) of every node whose fingerprint links to another's: key is its component's number, rank is greatest for the pivot.
+
+    groups: (node, the words of the fingerprint), distinct.
+    """
+    keyed = groups.where("node <> 0").select("node", *FP).mapInArrow(_keys, ", ".join(["key int", "node long", *(f"{c} long" for c in FP)]))
+    near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_near, "u long, v long")
+    members = written(components(near).withColumnRenamed("root", "key").join(groups.select("node", *FP).hint("merge"), "node").select("key", "node", *FP))
+    centres = members.repartition("key").sortWithinPartitions("key").mapInArrow(_centres, ", ".join(["key long", *(f"{c} long" for c in FP)]))
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"c_{c}"))) for c in FP), F.lit(0))
+    return written(members.join(centres.select("key", *(F.col(c).alias(f"c_{c}") for c in FP)).hint("merge"), "key").select("key", "node", (-apart).alias("rank")))
 
 
 def _sets(df: DataFrame) -> DataFrame:
@@ -192,16 +314,13 @@ def _in_blocks(many: DataFrame, sets: DataFrame, size: int) -> DataFrame:
 def links(keyed: DataFrame, sets: DataFrame, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) whose components are those of all pairs that share a key and are alike.
 
-    keyed: (key, node), distinct; sets: (node, hashes).
+    keyed: (key, node, rank), each node once; sets: (node, hashes).
     """
-    count = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    live = written(keyed.join(count.hint("merge"), "key"))
-    ranked = live.join(live.groupBy("node").agg(F.sum("n").alias("degree")).hint("merge"), "node")
-    pivots = written(ranked.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("pivot")))
-    met = live.select("key", "node").join(pivots.hint("merge"), "key").where("node <> pivot")
-    edges = _verified(met.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct(), sets)
+    pivots = written(keyed.groupBy("key").agg(F.max_by("node", F.struct("rank", "node")).alias("pivot")))
+    met = keyed.select("key", "node").join(pivots.hint("merge"), "key").where("node <> pivot")
+    edges = _verified(met.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")), sets)
     roots = components(edges)
-    left = live.select("key", "node").join(pivots.select("key", F.col("pivot").alias("node")).hint("merge"), ["key", "node"], "left_anti")
+    left = keyed.select("key", "node").join(pivots.select("key", F.col("pivot").alias("node")).hint("merge"), ["key", "node"], "left_anti")
     left = written(left.join(roots.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
     apart = left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("key", "n")
     left = written(left.join(apart.hint("merge"), "key"))
@@ -218,11 +337,9 @@ def grouped(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: i
     docs = written(_signatures(src))
     # first: one row of each node, whose text gives the node's set
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
-    groups = written(docs.groupBy("node").agg(F.min("doc_id").alias("least"), first, F.count(F.lit(1)).alias("n"), F.any_value("keys").alias("keys")))
-    keyed = groups.select(F.explode("keys").alias("key"), "node")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    keyed = written(keyed.join(shared.hint("merge"), "key", "left_semi"))
-    nodes = keyed.select("node").distinct().join(groups.hint("merge"), "node")
+    groups = written(docs.groupBy("node").agg(F.min("doc_id").alias("least"), first, F.count(F.lit(1)).alias("n"), *(F.any_value(c).alias(c) for c in FP)))
+    keyed = candidates(groups)
+    nodes = keyed.select("node").join(groups.hint("merge"), "node")
     wanted = written(nodes.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash")))
     near = src.where(hit(marks(wanted.select(F.xxhash64("__id", "__hash").alias("mark"))), F.xxhash64("doc_id", "text_hash")))
     sets = written(_sets(near.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left_semi")))

@@ -41,37 +41,42 @@ BUCKET = 1024
 BITS = 2
 
 
-def simhash(texts: pa.Array, shingle: int = 3) -> np.ndarray:
-    """Fingerprints as unsigned 64-bit numbers; see fingerprints()."""
-    buf, offs = raw(texts)
-    buf = LOWER[buf]
-    starts, lens, ptr = words(buf, offs)
-    buf, at = joined(buf, starts, lens)
-    n = np.diff(ptr)
-    count = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
-    first = gather(ptr[:-1], count)
-    last = first + np.repeat(np.minimum(n, shingle), count) - 1
-    h = xxh64(buf, at[first], at[last] + lens[last] - at[first])
+def majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The bits set in over half the hashes of each document; count: how many each has, one after the other."""
     # four 16-bit counters in a word: no document part may have more than 65,535 shingles
     ends = np.cumsum(count)
     begin = ends - count
     parts = np.maximum(1, -(-count // 65535))
-    doc = np.repeat(np.arange(n.size), parts)
-    lo = np.minimum(np.repeat(begin, parts) + 65535 * gather(np.zeros(n.size, np.int64), parts), np.repeat(ends, parts))
+    doc = np.repeat(np.arange(count.size), parts)
+    lo = np.minimum(np.repeat(begin, parts) + 65535 * gather(np.zeros(count.size, np.int64), parts), np.repeat(ends, parts))
     hi = np.minimum(lo + 65535, np.repeat(ends, parts))
-    out = np.zeros(n.size, np.uint64)
+    out = np.zeros(count.size, np.uint64)
     total = np.zeros(h.size + 1, np.uint64)
     ones = U(0x0001000100010001)
     for plane in range(16):
         np.cumsum((h >> U(plane)) & ones, out=total[1:])
         packed = total[hi] - total[lo]
         for lane in range(4):
-            c = np.zeros(n.size, np.int64)
+            c = np.zeros(count.size, np.int64)
             np.add.at(c, doc, ((packed >> U(16 * lane)) & U(0xFFFF)).astype(np.int64))
             out |= np.where(2 * c > count, U(1) << U(16 * lane + plane), U(0))
     return out
 
 
+def simhash(texts: pa.Array, shingle: int = 3) -> np.ndarray:
+    """Fingerprints as unsigned 64-bit numbers; see fingerprints()."""
+    buf, offs = raw(texts)
+    buf = LOWER[buf]
+    starts, lens, ptr = words(buf, offs)
+    buf, at = joined(buf, starts, lens)
+    n = np.diff(ptr)
+    count = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
+    first = gather(ptr[:-1], count)
+    last = first + np.repeat(np.minimum(n, shingle), count) - 1
+    h = xxh64(buf, at[first], at[last] + lens[last] - at[first])
+    return majority(h, count)
+
+
 def fingerprints(df: DataFrame, text: str = "text", into: str = "fp", shingle: int = 3, keep: list[str] | None = None) -> DataFrame:
     """Add the SimHash of each whole text (a signed long with the same 64 bits).
 

@@ -186,6 +186,95 @@ def test_near_copies_by_likeness(spark, bucket):
     assert sum(old[ids[i]] != old[ids[j]] for i, j in pairs) > len(pairs) / 2
 
 
+def near_pair(rng, n):
+    """Two texts of n words or more, all different, with a likeness of 0.8 or just above."""
+    w = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    size = n - 4
+    c = size // 45  # words changed far apart: each takes five shingles of either side
+    x = ["x" if k % 45 == 20 and k < 45 * c else v for k, v in enumerate(w)]
+    return " ".join(w), " ".join(x + [f"y{rng.randrange(10**9)}" for _ in range((size - 45 * c) // 4)])
+
+
+def wide_fingerprints(texts):
+    from gnosia.llm import likeness
+
+    return likeness.fingerprints(*likeness.shingles(pa.array(texts)))
+
+
+def test_wide_fingerprints():
+    """Bits in over half the hashes of the distinct shingles; segments are its bits in turn."""
+    from gnosia.llm import likeness
+    from gnosia.llm.textvec import mix
+
+    rng = random.Random(21)
+    texts = ["", "one", "One", "one two three four five six", *[prose(rng, n) for n in (6, 60, 700)]]
+    h, ptr = likeness.shingles(pa.array(texts))
+    fp = wide_fingerprints(texts)
+    for k in range(4):
+        of = [[int(x) for x in mix(h[a:b] ^ mix(np.array([k + 1], np.uint64)))] for a, b in zip(ptr, ptr[1:])]
+        assert [int(x) for x in fp[k]] == [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in xs) > len(xs)) for xs in of]
+    whole = [sum(int(fp[k][i]) << (64 * k) for k in range(4)) for i in range(len(texts))]
+    for t in range(11):
+        assert [int(x) for x in likeness.segment(fp, t)] == [w >> (23 * t) & (1 << 23) - 1 for w in whole]
+
+
+def test_golay_keys_find_near_copies():
+    """Pairs of a likeness of 0.8 to 0.83 share a key and link by their bits, all but one in a thousand at most."""
+    from gnosia.llm import likeness
+
+    rng, golay = random.Random(22), simhash.Golay()
+    pairs = [near_pair(rng, rng.randint(50, 200)) for _ in range(1500)]
+    for a, b in pairs[:50]:
+        x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+        assert 0.8 <= len(x & y) / len(x | y) < 0.83
+    a, b = (wide_fingerprints([p[k] for p in pairs]) for k in (0, 1))
+    met = np.zeros(len(pairs), bool)
+    for t in range(11):
+        one, two = ({*zip(*map(np.ndarray.tolist, golay.numbers(likeness.segment(fp, t), 23)))} for fp in (a, b))
+        met[[row for row, _ in one & two]] = True
+    assert met.mean() >= 0.999
+    assert sum(likeness._within(a[:, [i]], b[:, [i]])[0].size for i in range(len(pairs))) >= 0.999 * len(pairs)
+
+
+@pytest.mark.parametrize("dense", [64, 3])
+def test_linked_fingerprints(monkeypatch, dense):
+    """The components of all pairs within the bits, in blocks of any size; dense groups are searched on their own."""
+    from gnosia.llm import likeness
+
+    rng = random.Random(23)
+    fps = [rng.getrandbits(256) for _ in range(300)]
+    for k in range(6):  # a chain, each 60 bits from the last; a ball around its start
+        at = fps[k]
+        for _ in range(20):
+            fps.append(at := at ^ sum(1 << b for b in rng.sample(range(256), 60)))
+            fps.append(fps[k] ^ sum(1 << b for b in rng.sample(range(256), 30)))
+    rng.shuffle(fps)
+    near = [(i, j) for i, a in enumerate(fps) for j in range(i) if (d := a ^ fps[j]).bit_count() <= likeness.BITS and (d & (1 << 64) - 1).bit_count() <= likeness.FIRST]
+    want = brute_groups(near, range(len(fps)))
+    assert len({*want.values()}) < len(fps) - 150
+    monkeypatch.setattr(likeness, "STEP", 16)
+    monkeypatch.setattr(likeness, "WIDE", 50)
+    monkeypatch.setattr(likeness, "DENSE", dense)
+    words = np.array([[f >> (64 * k) & (1 << 64) - 1 for f in fps] for k in range(4)], np.uint64)
+    edges = [(int(x), int(y)) for u, v in likeness.linked(words) for x, y in zip(u, v)]
+    assert brute_groups(edges, range(len(fps))) == want
+
+
+def test_near_copies_come_from_golay_keys(spark):
+    """The pipeline's candidates are components of fingerprints; every pair alike on its shingles is within one."""
+    from gnosia.llm import likeness
+
+    rng = random.Random(24)
+    texts = [t for _ in range(60) for t in near_pair(rng, rng.randint(50, 120))] + ["", "own"]
+    h, ptr = likeness.shingles(pa.array(texts))
+    node, fp = likeness.digests(h, ptr), likeness.fingerprints(h, ptr).view(np.int64)
+    groups = spark.createDataFrame([(int(n), *map(int, f)) for n, f in zip(node, fp.T)], ", ".join(["node long", *(f"{c} long" for c in likeness.FP)]))
+    key = {r.node: r.key for r in likeness.candidates(groups).collect()}
+    pairs = brute_jaccard(texts)
+    assert len(pairs) == 60 and all(key[int(node[i])] == key[int(node[j])] for i, j in pairs)
+    assert len({*key.values()}) == 60 and len(key) == 120
+
+
 def test_marked_rows(spark):
     """No wanted row is lost; with few wanted rows few others pass; no wanted row, none passes."""
     from pyspark.sql import functions as F
