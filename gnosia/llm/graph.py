@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gnosia.llm.common import dropped, written
 
-#: Nodes that a task holds at once.
+#: Nodes that a task holds at once; edges that it takes, about, when partitions are put together.
 MOST = 1 << 20
 
 
@@ -48,16 +48,38 @@ def _with_least(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _state(e: DataFrame) -> tuple:
+    """The number of edges and a sum over them, equal for equal tables."""
+    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def _merged(e: DataFrame, most: int) -> tuple[DataFrame, tuple]:
+    """(edges, their state): stars of partitions put together, as long as that halves the edges; no shuffle, no link is lost.
+
+    A link known to many partitions is an edge in each of their stars, though with another root: a group of which every
+    partition has seen a part would enter the first join once for each partition.
+    """
+    seen = _state(e)
+    while seen[0]:
+        parts = -(-seen[0] // most)
+        old, e = e, written(e.coalesce(parts).mapInArrow(_contract, "u long, v long"))
+        dropped(old)
+        before, seen = seen, _state(e)
+        if parts == 1 or 2 * seen[0] > before[0]:
+            break
+    return e, seen
+
+
+def components(edges: DataFrame, most_rounds: int = 60, most: int = MOST) -> DataFrame:
     """(node, root) for every node of an edge: root is the least node of its component.
 
-    edges: columns u, v (long); loops and repeated edges do no harm; an empty table gives an empty one. Large-star and
-    small-star steps alternate until the edges stay the same; each round ends in a written table. The rounds needed grow
-    with the logarithm of the longest path; after most_rounds it raises, and never returns a partial result.
+    edges: columns u, v (long); loops and repeated edges do no harm; an empty table gives an empty one. Partitions of
+    edges are replaced by stars, then groups of partitions of about `most` edges. Large-star and small-star steps
+    alternate until the edges stay the same; each round ends in a written table. The rounds needed grow with the
+    logarithm of the longest path; after most_rounds it raises, and never returns a partial result.
     """
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
-    e = written(e.mapInArrow(_contract, "u long, v long"))
-    seen = None
+    e, seen = _merged(written(e.mapInArrow(_contract, "u long, v long")), most)
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -65,8 +87,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = _with_least(down)
         old, e = e, written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct())
         dropped(old)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
+        now = _state(e)
+        if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen = tuple(now)
+        seen = now
     raise RuntimeError("the components did not settle")

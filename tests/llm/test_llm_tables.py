@@ -141,6 +141,23 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("most", [graph.MOST, 300, 40])
+def test_components_of_a_group_seen_by_all_partitions(spark, monkeypatch, most):
+    """Thirty partitions link one group of 200 nodes, each by other links: the join takes them once, not once for each partition."""
+    rng, least, sizes = random.Random(41), graph._with_least, []
+    edges = []
+    for _ in range(30):
+        order = rng.sample(range(1000, 1200), 200)
+        edges += [*zip(order, order[1:])]
+    edges += [(i, i + 1) for i in range(0, 90, 3)]
+    monkeypatch.setattr(graph, "_with_least", lambda e: sizes.append(e.count()) or least(e))
+    df = spark.createDataFrame(spark.sparkContext.parallelize(edges, 31), "u long, v long")
+    got = {r.node: r.root for r in graph.components(df, most=most).collect()}
+    assert got == {i: 1000 for i in range(1000, 1200)} | {i + k: i for i in range(0, 90, 3) for k in (0, 1)}
+    if most == graph.MOST:
+        assert sizes[0] == 2 * (199 + 30) and len(sizes) == 2  # each edge both ways; one round
+
+
 # ---- 4 of the pipeline
 
 
