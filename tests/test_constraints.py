@@ -101,3 +101,18 @@ def test_edges_of_one_batch(spark):
 @pytest.mark.parametrize("line", ["(p A B)"])
 def test_empty_base(spark, line):
     assert codes(spark, ["(q A B)"], line) == [None]
+
+
+def test_no_proofs_without_goals(spark, monkeypatch):
+    """Only constraints that some edge can break are proved; what is found stays the same."""
+    calls = []
+    for name in ("prove_disjoint", "prove_isa", "prove_genls"):
+        monkeypatch.setattr(KB, name, lambda self, *a, _f=getattr(KB, name), _n=name, **k: calls.append(_n) or _f(self, *a, **k))
+    known = KB(edges_of(spark, ["(genls Dog Canis)", "(disjointWith Canis Plant)", "(not (genls Dog Cat))"]))
+    new = edges_of(spark, ["(genls Canis Dog)", "(genls Dog Plant)", "(genls Dog Cat)", "(genls Cat Thing)"])
+    ids = lambda df: {r.edge_id for r in df.collect()}
+    at = {r.arg1 + r.arg2: r.edge_id for r in new.collect()}
+    assert ids(constraints.disjoint_violations(known, new)) == {at["DogPlant"]} and calls == ["prove_disjoint"]
+    calls.clear()
+    assert ids(constraints.cyclic_violations(known, new)) == {at["CanisDog"]} and calls == ["prove_genls"]
+    assert ids(constraints.negated_violations(known, new)) == {at["DogCat"]} and calls == ["prove_genls", "prove_genls"]
