@@ -283,18 +283,37 @@ def bubble_up(kb: KB, share: float = 0.4, least: int = 10) -> DataFrame:
 def refinement_evidence(kb: KB, preds: DataFrame) -> DataFrame:
     """(pred, pos, type, n, evidence): how many pieces of evidence have each type at each position.
 
-    Edges with one `source` property are one piece. If the first argument of a piece has no type, its later ones do not
-    count.
+    Edges with one `source` property are one piece, any other edge is one by its edge_id. If the first argument of a
+    piece has no type, its later ones do not count. Terms with the same direct types are counted together, so that
+    edges never meet the types themselves.
     """
-    e = kb.active.where("sign = 1").join(preds.select("pred").distinct(), "pred", "left_semi")
-    args = e.select("pred", F.coalesce(F.col("props")["source"], F.concat(F.lit("#"), F.col("edge_id").cast("string"))).alias("source"), F.posexplode("args").alias("i", "term"))
-    args = args.select("pred", "source", (F.col("i") + 1).alias("pos"), model.literal_type(F.col("term")).alias("a"))
-    types = kb.types(args.select(F.col("a").alias("term"))).select("a", F.col("b").alias("type"))
-    typed = checkpointed(args.join(types, "a").select("pred", "source", "pos", "type").distinct())
-    first = typed.where("pos = 1").select("pred", "source").distinct()
-    typed = typed.join(first, ["pred", "source"], "left_semi")
-    n = typed.groupBy("pred", "pos", "type").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(typed.groupBy("pred", "pos").agg(F.countDistinct("source").alias("evidence")), ["pred", "pos"])
+    e = kb.active.where("sign = 1").join(F.broadcast(preds.select("pred").distinct()), "pred", "left_semi").select("pred", F.col("props")["source"].alias("source"), "edge_id", "args")
+    terms = e.select(F.explode("args").alias("term")).select(model.literal_type(F.col("term")).alias("term"))
+    direct = kb.asserted("isa").union(kb.function_results("resultIsa", terms))
+    kinds = checkpointed(direct.groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("kind")))
+    each = kinds.select("kind").distinct().select("kind", F.explode("kind").alias("t"))
+    up = kb.strict("genls").where("lo <> hi").select(F.col("lo").alias("t"), F.col("hi").alias("type"))
+    types = each.select("kind", F.col("t").alias("type")).union(each.join(up, "t").select("kind", "type")).distinct()
+
+    key = ["pred", "pos"]
+    single = e.where("source is null").select("pred", "edge_id", "args", model.literal_type(F.col("args")[0]).alias("a"))
+    single = single.join(kinds, "a").select("a", "pred", "edge_id", "args", "kind").distinct()
+    later = single.select("pred", F.posexplode(F.slice("args", F.lit(2), F.greatest(F.size("args") - 1, F.lit(0)))).alias("i", "term"))
+    later = later.groupBy("pred", (F.col("i") + 2).alias("pos"), model.literal_type(F.col("term")).alias("a")).agg(F.count(F.lit(1)).alias("n"))
+    count = single.groupBy("pred", F.lit(1).alias("pos"), "kind").agg(F.count(F.lit(1)).alias("n"))
+    count = checkpointed(count.union(later.join(kinds, "a").groupBy(*key, "kind").agg(F.sum("n").alias("n"))))
+    evidence = count.groupBy(*key).agg(F.sum("n").alias("evidence"))
+    n = count.join(types, "kind").groupBy(*key, "type").agg(F.sum("n").alias("n"))
+
+    shared = e.where("source is not null")
+    if not shared.isEmpty():
+        args = shared.select("pred", "source", F.posexplode("args").alias("i", "term")).select("pred", "source", (F.col("i") + 1).alias("pos"), model.literal_type(F.col("term")).alias("a"))
+        typed = checkpointed(args.join(kinds, "a").select("pred", "source", "pos", "kind").distinct())
+        typed = typed.join(typed.where("pos = 1").select("pred", "source").distinct(), ["pred", "source"], "left_semi")
+        evidence = evidence.union(typed.groupBy(*key).agg(F.countDistinct("source").alias("evidence"))).groupBy(*key).agg(F.sum("evidence").alias("evidence"))
+        more = typed.join(types, "kind").select(*key, "source", "type").distinct().groupBy(*key, "type").agg(F.count(F.lit(1)).alias("n"))
+        n = n.union(more).groupBy(*key, "type").agg(F.sum("n").alias("n"))
+    return n.join(evidence, key)
 
 
 def refine(kb: KB, preds: DataFrame, threshold: float = 0.9, ignore: DataFrame | None = None) -> DataFrame:

@@ -69,3 +69,45 @@ def test_depths(spark):
 def test_paths(spark):
     got = C.path_justifications(frame(spark, TAX), frame(spark, [("Dog", "Mammal"), ("Cat", "Thing"), ("Plant", "Pet")]))
     assert {(r.lo, r.hi, tuple(r.path)) for r in got.collect()} == {("Dog", "Mammal", ("Dog", "Canis", "Mammal")), ("Cat", "Thing", ("Cat", "Mammal", "Thing"))}
+
+
+def test_chain_beyond_the_broadcast(spark):
+    n = 40
+    chain = [(f"b{i:04}", f"b{i + 1:04}") for i in range(n)] + [(f"leaf{i}", "b0000") for i in range(3)] + [("b0010", "b0020")]
+    want = as_set(C.reach(frame(spark, chain)))
+    rounds = []
+    written = C.checkpointed
+    C.checkpointed = lambda df: rounds.append(1) or written(df)
+    try:
+        assert as_set(C.reach(frame(spark, chain), small=0)) == want
+    finally:
+        C.checkpointed = written
+    assert len(rounds) <= 9  # one for each level before
+    seeds = spark.createDataFrame([("b0002",), ("leaf1",), ("nowhere",)], "lo string")
+    assert as_set(C.reach(frame(spark, chain), seeds, small=0)) == {r for r in want if r[0] in ("b0002", "leaf1")}
+    # 44 edges, 41 of them from terms that others lead to
+    assert as_set(C.reach(frame(spark, chain), small=41)) == want
+    assert as_set(C.reach(frame(spark, chain), seeds, small=41)) == {r for r in want if r[0] in ("b0002", "leaf1")}
+
+
+def test_extremes_look_upwards(spark):
+    """The join is with what is above the members, not with all that is below a root."""
+    below = spark.createDataFrame([(f"x{i}", "Thing", 1) for i in range(1000)] + [("Dog", "Thing", 2), ("Canis", "Thing", 1), ("Dog", "Canis", 1)], "lo string, hi string, dist int")
+    members = spark.createDataFrame([(g, t) for g in range(50) for t in ("Thing", "Canis", "Dog")], "g int, term string")
+    for extreme, want in ((C.minimal, "Dog"), (C.maximal, "Thing")):
+        out = extreme(members, below, ["g"])
+        assert max(_rows_of_joins(out)) <= 50 * 3
+        assert as_set(out) == {(g, want) for g in range(50)}
+
+
+def _rows_of_joins(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+
+    def walk(p):
+        if "Join" in p.nodeName():
+            yield p.metrics().apply("numOutputRows").value()
+        for i in range(p.children().size()):
+            yield from walk(p.children().apply(i))
+
+    return list(walk(plan))

@@ -159,3 +159,18 @@ def test_seed(spark):
     assert e.query("(isa isa Relation)", prove_false=False).state == "TRUE"
     assert e.query("(isa (YearFn 1987) Date)", prove_false=False).state == "TRUE"
     assert e.query("(laterThan Rock 5)").state == "NIL"
+
+
+def test_evidence_counts_kinds_not_types(spark, monkeypatch):
+    """Edges meet the kinds of their terms, one for each, and never all types of their terms."""
+    lines = [f"(genls C{i} C{i + 1})" for i in range(10)] + [f"(isa a{i} C0)" for i in range(12)] + ["(isa b0 C3)", "(isa b0 Odd)"] + [f"(rel a{i} b0)" for i in range(12)] + ["(rel untyped b0)", "(rel a0 untyped)"]
+    edges = edges_of(spark, lines)
+    # three edges of one source are one piece, whose first arguments have one type at least
+    shared = edges_of(spark, ["(rel a0 b0)", "(rel a1 b0)", "(rel untyped b0)"]).withColumn("edge_id", F.col("edge_id") + 100).withColumn("props", F.create_map(F.lit("source"), F.lit("s")))
+    kb = KB(edges.unionByName(shared))
+    kb.strict("genls")
+    written, rows = analytics.checkpointed, []
+    monkeypatch.setattr(analytics, "checkpointed", lambda df: (out := written(df), rows.append(out.count()))[0])
+    got = {(r.pos, r.type): (r.n, r.evidence) for r in analytics.refinement_evidence(kb, spark.createDataFrame([("rel",)], "pred string")).collect()}
+    assert got == {(1, f"C{i}"): (14, 14) for i in range(11)} | {(2, f"C{i}"): (13, 13) for i in range(3, 11)} | {(2, "Odd"): (13, 13)}
+    assert max(rows) <= 13
