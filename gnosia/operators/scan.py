@@ -9,16 +9,35 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gnosia.model import is_function, positions
+from gnosia.operators.tables import written as checkpointed
 from gnosia.plans import sexpr
 
 
+def holding(term: str) -> Column:
+    """Whether the text of an edge has all names, numbers and strings of a term; true wherever the term occurs at all."""
+    words = {w.removeprefix("'") for w in re.findall(r"\"(?:[^\"\\]|\\.)*\"|[^\s()\"]+", term)}
+    whole, out = F.array_join(F.concat(F.array("pred"), "args"), " "), F.lit(True)
+    for w in sorted(words):
+        out &= whole.contains(w)
+        if not w.startswith('"'):
+            out &= whole.rlike(r"(?:^|[\s()\"'$])" + re.escape(w) + r"(?:$|[\s()\"])")
+    return out
+
+
 def find(edges: DataFrame, conditions: Sequence[tuple[str, str | int | None]], index: DataFrame | None = None) -> DataFrame:
-    """Edges that meet all conditions; each is a semi-join or anti-join with the index."""
+    """Edges that meet all conditions; each is a semi-join or anti-join with the index.
+
+    Only edges whose text holds the terms that must occur are written and parsed.
+    """
+    needed = [holding(term) for term, where in conditions if where is None or not str(where).startswith("-") or str(where) == "-F"]
+    if needed:
+        edges = checkpointed(edges.where(reduce(Column.__and__, needed)))
     index = positions(edges) if index is None else index
     out = edges
     for term, where in conditions:

@@ -174,3 +174,39 @@ def test_evidence_counts_kinds_not_types(spark, monkeypatch):
     got = {(r.pos, r.type): (r.n, r.evidence) for r in analytics.refinement_evidence(kb, spark.createDataFrame([("rel",)], "pred string")).collect()}
     assert got == {(1, f"C{i}"): (14, 14) for i in range(11)} | {(2, f"C{i}"): (13, 13) for i in range(3, 11)} | {(2, "Odd"): (13, 13)}
     assert max(rows) <= 13
+
+
+def test_scans_parse_only_edges_that_hold_the_term(spark, monkeypatch):
+    lines = [f"(isa x{i} (F y{i}))" for i in range(50)] + ['(isa z (F (G y7) 5 "a b"))', "(likes y7 z)", "(likes z y70)"]
+    edges = edges_of(spark, lines)
+    indexed = []
+    monkeypatch.setattr(scan, "positions", lambda e: indexed.append(e.count()) or model.positions(e))
+    found = lambda *c: {(r.pred, r.arg1) for r in scan.find(edges, list(c)).collect()}
+    assert found(("y7", "F")) == {("isa", "x7"), ("isa", "z")}
+    assert found(("y7", None), ("isa", "-1")) == {("likes", "y7")}
+    assert found(("y7", "-F")) == {("likes", "y7")}
+    assert found(("(G y7)", "3F2")) == found(("'5", "F")) == found(('"a b"', "F")) == {("isa", "z")}
+    assert max(indexed) <= 6
+    assert found(("isa", "-1")) == {("likes", "y7"), ("likes", "z")} and indexed[-1] == 53
+
+
+def test_partitions_follow_the_input(spark):
+    from gnosia.operators import tables
+
+    first, read = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    try:
+        tables.sized(spark, 1000 * tables.START)
+        assert spark.conf.get(first) == "1000" and int(spark.conf.get(read)) == tables.READ
+        tables.sized(spark, 1)
+        assert spark.conf.get(first) == "1"
+        spark.conf.set(first, "77")
+        spark.conf.set(read, "8m")
+        tables.sized(spark, 1000 * tables.START)
+        assert (spark.conf.get(first), spark.conf.get(read)) == ("77", "8m")
+    finally:
+        spark.conf.unset(first)
+        spark.conf.unset(read)
+    with tables.unsorted(spark):
+        rows = spark.range(100).selectExpr("id % 3 as k", "id").write
+        assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) >= 32
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0" and rows is not None
