@@ -156,3 +156,12 @@ def test_registered_predicate(spark):
     e = engine(spark, "(p A B)")
     e.register("longer", evaluate=lambda a, kb: __import__("pyspark.sql.functions", fromlist=["length"]).length(a[0]) > __import__("pyspark.sql.functions", fromlist=["length"]).length(a[1]))
     assert e.query("(longer Abc B)").state == "TRUE"
+
+
+def test_rows_are_computed_once(spark):
+    """The state is asked of the rows only when somebody asks for it; edges asserted twice bind once."""
+    kb = KB(edges_of(spark, ["(bought a x)", "(bought a x)", "(has x p)", "(has x p)", "(has x q)"]))
+    got = Engine(kb).query("(and (bought ?A ?X) (has ?X ?P))")
+    assert got._state is None
+    assert sorted(map(tuple, got.rows.collect())) == [("a", "x", "p"), ("a", "x", "q")]
+    assert got.state == "TRUE" and Engine(kb).query("(has y ?P)").state == "NIL"
